@@ -267,7 +267,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
 r AS (SELECT page_id, n, h, min(page_id) OVER (PARTITION BY h, n) AS k FROM p),
-b AS (SELECT *, list_aggregate(list_transform(range(0, 32), i ->
+b AS (SELECT *, list_aggregate(list_transform(range(0, 32), lambda i:
   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
     ((('0x' || substr(h || '0000', (i * 5 // 4)::INT + 1, 3))::BIGINT) >> (7 - (i * 5) % 4)) & 31)::INT, 1)), 'string_agg', '') AS d FROM r)
 SELECT page_id, n AS payload_bytes, d AS payload_digest,
