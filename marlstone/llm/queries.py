@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import exact_dedup, licenses, media, mixing, packing, pii, simhash, toxicity, warc
+from marlstone.llm import exact_dedup, licenses, media, mixing, packing, pii, simhash, substring_dedup, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op2_warc": warc.op2_warc,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_mixing": mixing.op4_mixing,
