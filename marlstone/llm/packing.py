@@ -26,8 +26,8 @@ WIDTH = 4096
 END_ID = 2
 #: Rows of a bucket, on average: what one task of the scheduler holds.
 BUCKET_ROWS = 20_000
-#: Words whose ids a Python worker remembers, about 150 bytes each.
-CACHE_WORDS = 500_000
+#: Words and word parts whose ids a Python worker remembers, about 150 bytes each.
+CACHE_WORDS = 1_000_000
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -37,6 +37,11 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def id_kind(vocabulary: int) -> str:
+    """How ids are stored: 16 bits where they suffice."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
 class WordTokenizer:
     """Ids of the ``tokenizers`` library, from a memory of white-space separated words.
 
@@ -51,33 +56,35 @@ class WordTokenizer:
 
         self.full = Tokenizer.from_file(path)
         self.model = self.full.model
+        self.kind = id_kind(self.full.get_vocab_size())
         self.cache: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.cache_words = cache_words
         split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes = {c: split.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
 
+    def piece(self, text: str) -> bytes:
+        found = self.pieces.get(text)
+        if found is None:
+            ids = [t.id for t in self.model.tokenize(text.translate(self.bytes))]
+            found = self.pieces[text] = np.array(ids, dtype=self.kind).tobytes()
+        return found
+
     def word(self, word: bytes) -> bytes:
         text = word.decode("utf-8")
         if m := self.plain.fullmatch(text):
-            pieces = [p for p in (m[1].lower(), m[2]) if p]
-            ids = [t.id for p in pieces for t in self.model.tokenize(p.translate(self.bytes))]
-        else:
-            ids = self.full.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+            return self.piece(m[1].lower()) + (self.piece(m[2]) if m[2] else b"")
+        return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
     def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of the whole text."""
+        """Little-endian unsigned ids of the whole text, ``kind`` each."""
         words, cache = text.encode("utf-8", "replace").split(), self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            pass
-        if len(cache) > self.cache_words:
+        if len(cache) + len(self.pieces) > self.cache_words:
             cache.clear()
-        for w in set(words):
-            if w not in cache:
-                cache[w] = self.word(w)
-        return b"".join([cache[w] for w in words])
+            self.pieces.clear()
+        for w in set(words).difference(cache):
+            cache[w] = self.word(w)
+        return b"".join(map(cache.__getitem__, words))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -93,8 +100,9 @@ def tokenizer(path: str) -> WordTokenizer:
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``row, doc_id, source, n, ids``: ``ids`` are little-endian unsigned 32-bit ids with ``end_id`` appended."""
-    end = np.array([end_id], dtype="<u4").tobytes()
+    """``row, doc_id, source, n, ids``: ``ids`` are little-endian unsigned ids of ``id_kind`` bits with ``end_id`` appended."""
+    kind = tokenizer(path).kind
+    end = np.array([end_id], dtype=kind).tobytes()
 
     @F.pandas_udf("binary")
     def encode(texts: pd.Series) -> pd.Series:
@@ -104,7 +112,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "d
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), encode(text_or_empty(text_col)).alias("ids")
     )
-    return rows.withColumn("n", (F.octet_length("ids") / 4).cast("long"))
+    return rows.withColumn("n", (F.octet_length("ids") / np.dtype(kind).itemsize).cast("long"))
 
 
 def serve(queues: dict[str | None, deque], share: Mapping[str | None, float], deficit: dict[str | None, float], at: int, width: int) -> Iterator[tuple[int, int]]:
@@ -153,7 +161,9 @@ def pack(
     """
     spark = docs.sparkSession
     small_batches(docs)
-    table = materialize(tokenized(docs, path or vocabulary_path(), end_id, id_col, text_col, source_col), "tokens")
+    path = path or vocabulary_path()
+    stored = tokenizer(path).kind
+    table = materialize(tokenized(docs, path, end_id, id_col, text_col, source_col), "tokens")
     buckets = max(1, -(-table.count() // bucket_rows))
     place = F.xxhash64(F.lit("pack"), F.col("doc_id"), F.col("row"))
     narrow = table.select("row", "source", "n", F.pmod(place, F.lit(buckets)).cast("int").alias("bucket"), place.alias("h"))
@@ -194,11 +204,11 @@ def pack(
         for batch in batches:
             out: list[tuple] = []
             for doc, source, n, ids, at in zip(batch["doc_id"], batch["source"], batch["n"].tolist(), batch["ids"], batch["at"].tolist(), strict=True):
-                start = 0
+                start, whole = 0, np.frombuffer(ids, dtype=stored).astype("<u4").tobytes()
                 while start < n:
                     seq, off = divmod(at + start, width)
                     length = min(width - off, n - start)
-                    out.append((doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, seq, off, source))
+                    out.append((doc, start, length, zlib.crc32(whole[4 * start : 4 * (start + length)]), n, seq, off, source))
                     start += length
             yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]).astype({"doc_id": batch["doc_id"].dtype})
 
