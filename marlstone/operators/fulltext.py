@@ -13,10 +13,13 @@ from marlstone.operators.lexical import top_k
 K1, B = 1.2, 0.75
 
 
-@F.pandas_udf("array<string>")
-def stems(tokens: pd.Series) -> pd.Series:
-    memory: dict[str, str] = {}
-    return pd.Series([[memory.setdefault(t, stem(t)) for t in row] if row is not None else None for row in tokens])
+def stems(tokens: Column) -> Column:
+    @F.pandas_udf("array<string>")
+    def udf(rows: pd.Series) -> pd.Series:
+        memory: dict[str, str] = {}
+        return pd.Series([[memory.setdefault(t, stem(t)) for t in row] if row is not None else None for row in rows])
+
+    return udf(tokens)
 
 
 def terms_of(text: str | Column, stemmed: bool) -> Column:
