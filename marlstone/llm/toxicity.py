@@ -21,7 +21,7 @@ from marlstone.llm.common import documents, labels, small_batches
 TERM_BITS = 18
 FACTORS = 4
 #: Labelled rows to fit on at most, those with the smallest hash of their id.
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 12_000
 #: Terms that get weights: those in at least ``MIN_DOCS`` of the fitted rows whose chi-square against the label is over
 #: ``MIN_CHI``, the largest first. Without that screen a small sample is learned by heart from its rare words.
 MIN_DOCS = 3
@@ -69,8 +69,8 @@ def fit(docs: list[np.ndarray], y: np.ndarray, bits: int = TERM_BITS, factors: i
     expected = df[seen] * base
     chance = (pos[seen] - expected) ** 2 / (expected * (1 - base) * (1 - df[seen] / (n + 1)) + 1e-9)
     kept = seen[np.argsort(-chance, kind="stable")[: min(MAX_TERMS, int((chance > MIN_CHI).sum()))]]
-    compact = np.full(size, -1, np.int64)
-    compact[kept] = np.arange(len(kept))
+    compact = np.full(size, -1, np.int32)
+    compact[kept] = np.arange(len(kept), dtype=np.int32)
     rows = [c[c >= 0] for c in (compact[ids] for ids in docs)]
     # Positives are few; the root of the odds keeps a single strong term above the threshold without flooding it.
     weight = np.where(y > 0, np.sqrt((1 - base) / base), 1.0) if base < 0.5 else np.ones(n)
@@ -112,9 +112,9 @@ def held_out(id_col: str) -> Column:
 def train(docs: DataFrame, truth: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> FactorizationMachine:
     """Fit on at most ``rows`` labelled rows that aren't held out; only their term hashes reach the driver."""
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def terms(texts: pd.Series) -> pd.Series:
-        return pd.Series([term_ids(t) for t in texts])
+        return pd.Series([term_ids(t).astype("<i4").tobytes() for t in texts], dtype=object)
 
     small_batches(docs)
     picked = (
@@ -131,9 +131,10 @@ def train(docs: DataFrame, truth: DataFrame, label_col: str = "toxic", id_col: s
         .dropDuplicates(["_id"])
         .orderBy("_id")
         .limit(rows)
-        .toPandas()
+        .select("_y", "_t")
+        .collect()
     )
-    return fit([np.asarray(t, dtype=np.int64) for t in found["_t"]], found["_y"].to_numpy(dtype=float))
+    return fit([np.frombuffer(r["_t"], dtype="<i4") for r in found], np.array([r["_y"] for r in found], dtype=float))
 
 
 def scored(docs: DataFrame, model: FactorizationMachine, text_col: str = "text") -> Column:
