@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +63,23 @@ def small_batches(df: DataFrame) -> None:
     now = int(spark.conf.get(key, "10000") or 10000)
     if not 0 < now <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+
+
+def slot_map(slots: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each value of the long column ``s`` in ``[0, 2 ** bits)``, as ``2 ** (bits - 6)`` words.
+
+    The words are packed into blocks of 32 KB by the executors, so the driver gets ``2 ** (bits - 3)`` bytes at most, whatever the input.
+    """
+    block = 12
+    words = slots.groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(s & 63 AS INT))) AS b"))
+
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        held = np.zeros(1 << block, dtype=np.int64)
+        held[rows["w"].to_numpy(dtype=np.int64) & ((1 << block) - 1)] = rows["b"].to_numpy(dtype=np.int64)
+        return pd.DataFrame({"k": [key[0]], "data": [held.tobytes()]})
+
+    packed = words.withColumn("k", F.shiftright("w", block)).groupBy("k").applyInPandas(pack, "k long, data binary").collect()
+    out = np.zeros(1 << max(bits - 6, block), dtype=np.int64)
+    for r in packed:
+        out[r["k"] << block : (r["k"] + 1) << block] = np.frombuffer(r["data"], dtype=np.int64)
+    return out.view(np.uint64)

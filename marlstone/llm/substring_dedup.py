@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import documents, materialize, small_batches
+from marlstone.llm.common import documents, materialize, slot_map, small_batches
 from marlstone.llm.components import connected_components
 
 WINDOW = 25
@@ -175,7 +175,7 @@ def similar(a: frozenset, b: frozenset, least: float) -> bool:
 
 
 def repeated_keys(docs: DataFrame, text_col: str, sketcher: Sketcher) -> np.ndarray:
-    """A bit for each slot of keys that several rows hold; the driver gets at most ``2 ** (MAP_BITS - 6)`` words."""
+    """A bit for each slot of keys that several rows hold; the driver gets at most ``2 ** (MAP_BITS - 3)`` bytes."""
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -186,15 +186,7 @@ def repeated_keys(docs: DataFrame, text_col: str, sketcher: Sketcher) -> np.ndar
             yield pd.DataFrame({"key": np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)})
 
     counted = docs.select(F.col(text_col).alias("text")).mapInPandas(keys, "key long").groupBy("key").count().where("count > 1")
-    words = (
-        counted.select(F.shiftrightunsigned("key", 64 - MAP_BITS).alias("s"))
-        .groupBy(F.shiftright("s", 6).alias("w"))
-        .agg(F.expr("bit_or(shiftleft(1L, CAST(s & 63 AS INT))) AS b"))
-        .toPandas()
-    )
-    held = np.zeros(1 << (MAP_BITS - 6), dtype=np.int64)
-    held[words["w"].to_numpy(dtype=np.int64)] = words["b"].to_numpy(dtype=np.int64)
-    return held.view(np.uint64)
+    return slot_map(counted.select(F.shiftrightunsigned("key", 64 - MAP_BITS).alias("s")), MAP_BITS)
 
 
 UNITS = "id long, sig long, kind int, start int, n int, text string, keys array<long>"
