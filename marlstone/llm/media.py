@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import documents, materialize, small_batches, text_or_empty
+from marlstone.llm.common import documents, materialize, slot_map, small_batches, text_or_empty
 
 UNIT = 64
 MIN_CHUNK, MAX_CHUNK, MASK_BITS = 256, 8192, 10
@@ -104,7 +104,7 @@ def _slot(digest: bytes) -> int:
 
 
 def repeated_map(texts: DataFrame) -> np.ndarray:
-    """A bit for each slot of repeated chunk digests; the driver gets at most 2**20 words of it."""
+    """A bit for each slot of repeated chunk digests; the driver gets at most ``2 ** (MAP_BITS - 3)`` bytes."""
 
     @F.pandas_udf("array<binary>")
     def digests(batch: pd.Series) -> pd.Series:
@@ -113,10 +113,7 @@ def repeated_map(texts: DataFrame) -> np.ndarray:
     each = texts.select(F.explode(digests("_text")).alias("d"))
     slot = F.shiftrightunsigned(F.conv(F.hex(F.substring("d", 1, 4)), 16, 10).cast("long"), 32 - MAP_BITS)
     repeated = each.groupBy("d").count().where("count > 1").select(slot.alias("s"))
-    words = repeated.groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(s & 63 AS INT))) AS b")).toPandas()
-    held = np.zeros(1 << (MAP_BITS - 6), dtype=np.int64)
-    held[words["w"].to_numpy(dtype=np.int64)] = words["b"].to_numpy(dtype=np.int64)
-    return held.view(np.uint64)
+    return slot_map(repeated, MAP_BITS)
 
 
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
