@@ -5,13 +5,15 @@ A document's units are its lines of at least ``WINDOW`` words, sketched by MinHa
 their words. Both ends of a passage that two documents share sit anywhere in a line, and every shared run of
 ``2 * WINDOW - 1`` words has a window in common.
 
-First pass: only 64-bit band keys are counted. Second pass: only units with a key of several documents give their text. Those
-are verified (windows: equal texts; lines: exact Jaccard similarity), linked, and clustered by connected components; of each
-cluster the document with the smallest id keeps its passage.
+First pass: only 64-bit band keys are counted. Second pass: only units with a key of several documents are kept, each with the
+128-bit digest of its words; lines keep their words too. Units are verified (windows: equal digests of all their words; lines: exact
+Jaccard similarity), linked, and clustered by connected components; of each cluster the document with the smallest id keeps its
+passage.
 """
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -189,11 +191,14 @@ def repeated_keys(docs: DataFrame, text_col: str, sketcher: Sketcher) -> np.ndar
     return slot_map(counted.select(F.shiftrightunsigned("key", 64 - MAP_BITS).alias("s")), MAP_BITS)
 
 
-UNITS = "id long, sig long, kind int, start int, n int, text string, keys array<long>"
+UNITS = "id long, sig long, kind int, start int, n int, d1 long, d2 long, text string, keys array<long>"
 
 
 def units(docs: DataFrame, id_col: str, text_col: str, sketcher: Sketcher) -> DataFrame:
-    """A row of kind 0 for each document, then its windows (1) and lines (2) that hold a repeated key."""
+    """A row of kind 0 for each document, then its windows (1) and lines (2) that hold a repeated key.
+
+    ``d1, d2``: 128-bit digest of a unit's words, seeded by its kind. Only lines carry ``text`` and ``keys``.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(repeated_keys(docs, text_col, sketcher))
 
     def hits(keys: np.ndarray) -> np.ndarray:
@@ -207,19 +212,21 @@ def units(docs: DataFrame, id_col: str, text_col: str, sketcher: Sketcher) -> Da
                 i = None if pd.isna(i) else int(i)
                 s = sketcher.sketch(t)
                 sig = int(np.uint64(xxhash.xxh64_intdigest((t or "").encode("utf-8", "replace"))).view(np.int64))
-                out.append((i, sig, 0, 0, len(s.words), None, None))
+                out.append((i, sig, 0, 0, len(s.words), None, None, None, None))
                 if i is None:
                     continue
                 own = hits(s.window_keys)
-                for start, key in zip(s.windows[own].tolist(), s.window_keys[own].view(np.int64).tolist(), strict=True):
-                    out.append((i, sig, 1, start, sketcher.window, b" ".join(s.words[start : start + sketcher.window]).decode(), [key]))
+                for start in s.windows[own].tolist():
+                    words = b" ".join(s.words[start : start + sketcher.window])
+                    out.append((i, sig, 1, start, sketcher.window, *struct.unpack("<qq", xxhash.xxh3_128_digest(words, 1)), None, None))
                 marks = hits(s.line_keys)
                 for row in np.flatnonzero(marks.any(axis=1)).tolist():
                     start, n = s.lines[row]
                     keys = s.line_keys[row][marks[row]].view(np.int64).tolist()
-                    out.append((i, sig, 2, start, n, b" ".join(s.words[start : start + n]).decode(), keys))
-            made = pd.DataFrame(out, columns=["id", "sig", "kind", "start", "n", "text", "keys"])
-            yield made.astype({"id": "Int64"})
+                    words = b" ".join(s.words[start : start + n])
+                    out.append((i, sig, 2, start, n, *struct.unpack("<qq", xxhash.xxh3_128_digest(words, 2)), words.decode(), keys))
+            made = pd.DataFrame(out, columns=["id", "sig", "kind", "start", "n", "d1", "d2", "text", "keys"])
+            yield made.astype({"id": "Int64", "d1": "Int64", "d2": "Int64"})
 
     return materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(emit, UNITS), "units")
 
@@ -295,15 +302,17 @@ def substring_dedup(
     small_batches(docs)
     table = units(docs, id_col, text_col, Sketcher(window, shingle, similarity, recall))
     parts = table.where("kind > 0")
-    # Equal texts first: each distinct paragraph is one node, however many documents hold it.
-    classes = parts.groupBy("kind", "text").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("keys").alias("keys"))
-    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    roots = connected_components(line_links(classes.where("kind = 2"), similarity, shingle, block), "a", "b")
-    cluster = classes.join(roots, "node", "left").withColumn("cluster", F.coalesce("component", "node"))
-    cluster = materialize(cluster.select("kind", "text", "cluster", "lo", "hi"), "clusters")
-    keeps = cluster.groupBy("cluster").agg(F.min("lo").alias("keep"), F.max("hi").alias("most")).where("keep < most").drop("most")
-    held = parts.join(cluster.select("kind", "text", "cluster"), ["kind", "text"]).join(keeps, "cluster")
-    held = materialize(held.select("id", "sig", "start", "n", "cluster", "keep"), "held")
+    # Equal units first: each distinct one is a class, however many documents hold it. A window's class is its cluster.
+    windows = parts.where("kind = 1").groupBy("d1", "d2").agg(F.min("id").alias("keep"), F.max("id").alias("most")).where("keep < most").drop("most")
+    lines = parts.where("kind = 2").groupBy("d1", "d2").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("text").alias("text"), F.first("keys").alias("keys"))
+    lines = materialize(lines.withColumn("node", F.monotonically_increasing_id()), "lines")
+    roots = connected_components(line_links(lines, similarity, shingle, block), "a", "b")
+    grouped = materialize(lines.select("d1", "d2", "node", "lo", "hi").join(roots, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("cluster"), "lo", "hi"), "clusters")
+    keeps = grouped.groupBy("cluster").agg(F.min("lo").alias("keep"), F.max("hi").alias("most")).where("keep < most").drop("most")
+    # Class names of lines are row numbers, those of windows a digest's half with the top bit set: they can't meet.
+    shared = grouped.join(keeps, "cluster").select("d1", "d2", "cluster", "keep")
+    shared = shared.unionByName(windows.withColumn("cluster", F.col("d1").bitwiseOR(F.lit(-(2**63)))))
+    held = materialize(parts.select("id", "sig", "start", "n", "d1", "d2").join(shared, ["d1", "d2"]).select("id", "sig", "start", "n", "cluster", "keep"), "held")
 
     linked = connected_components(held.select("id", "keep").distinct(), "id", "keep")
     spans = held.groupBy("id", "sig").agg(
