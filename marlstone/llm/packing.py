@@ -1,10 +1,10 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
-Documents are tokenized once into a table. The narrow rows (row id, source, token count) are dealt at random, by hash, to
-buckets; prefix sums over (bucket, source) token counts tell each bucket where in the packed stream it begins and which
-deficits its source queues carry in. A bucket then serves its queues and gives every document its place in the stream; a
-window is the stream's next ``width`` tokens. So windows and deficits run on over buckets, and only the very last window of
-all is padded.
+Documents are tokenized once into a table. Each source's queue is its documents in hash order, cut into slots. Prefix sums of the
+slots' tokens and the sources' shares tell when a slot is due, and so the bucket of its documents; prefix sums over (bucket,
+source) tell each bucket where in the packed stream it begins and which deficits its queues carry in. A bucket then serves its
+queues and gives every document its place in the stream; a window is the stream's next ``width`` tokens. So windows and deficits
+run on over buckets, and only the very last window of all is padded.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ WIDTH = 4096
 END_ID = 2
 #: Rows of a bucket, on average: what one task of the scheduler holds.
 BUCKET_ROWS = 20_000
+#: Slots of a source for each bucket.
+SLOTS = 16
 #: Words and word parts whose ids a Python worker remembers, about 150 bytes each.
 CACHE_WORDS = 1_000_000
 VOCABULARY = "word_bpe_49k.json"
@@ -155,7 +157,8 @@ def pack(
 ) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source``.
 
-    ``weights``: target token shares by source; by default each source's share of all tokens, so that the queues drain together.
+    ``weights``: target token shares by source; by default each source's share of all tokens, so that the queues drain together. When
+    a queue is empty the others share what it had; sources without a weight come last.
     Null or empty texts hold the end id alone. A null source is a queue of its own. Repeated rows are packed each. Extra columns are
     ignored; an empty table gives no rows. Every sequence but the last of all has ``width`` tokens.
     """
@@ -166,31 +169,51 @@ def pack(
     table = materialize(tokenized(docs, path, end_id, id_col, text_col, source_col), "tokens")
     buckets = max(1, -(-table.count() // bucket_rows))
     place = F.xxhash64(F.lit("pack"), F.col("doc_id"), F.col("row"))
-    narrow = table.select("row", "source", "n", F.pmod(place, F.lit(buckets)).cast("int").alias("bucket"), place.alias("h"))
+    narrow = table.select("row", "source", "n", F.pmod(place, F.lit(buckets * SLOTS)).alias("slot"), place.alias("h"))
 
-    sums = materialize(narrow.groupBy("bucket", "source").agg(F.sum("n").alias("tokens")), "sums")
-    by_source = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    by_bucket = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    total = sums.groupBy("source").agg(F.sum("tokens").alias("all"))
-    begins = sums.groupBy("bucket").agg(F.sum("tokens").alias("tokens")).select("bucket", F.coalesce(F.sum("tokens").over(by_bucket), F.lit(0)).alias("begin"))
-    served = sums.select("bucket", "source", F.coalesce(F.sum("tokens").over(by_source), F.lit(0)).alias("served"))
+    # Slots are fixed random parts of each source's queue; the clock at which a slot is due picks its bucket.
+    slots = materialize(narrow.groupBy("slot", "source").agg(F.sum("n").alias("tokens"), F.count("*").alias("rows")), "slots")
+    total = slots.groupBy("source").agg(F.sum("tokens").alias("all"), F.sum("rows").alias("rows"))
     if weights is None:
-        shares = total.select(F.col("source").alias("s"), (F.col("all") / F.sum("all").over(Window.partitionBy())).alias("share"))
+        share = F.col("all") / F.sum("all").over(Window.partitionBy())
+        total = total.withColumn("share", share)
     else:
         whole = float(sum(weights.values())) or 1.0
-        pairs = [(k, float(v) / whole) for k, v in weights.items()]
-        shares = spark.createDataFrame(pairs, "s string, share double")
+        given = spark.createDataFrame([(k, float(v) / whole) for k, v in weights.items()], "s string, share double")
+        total = total.join(given, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "all", "rows", F.coalesce("share", F.lit(0.0)).alias("share"))
+    # One row a source.
+    total = materialize(total, "sources")
+    curve = total.agg(F.collect_list(F.struct("all", "rows", "share")).alias("curve"))
+    before = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    due = slots.withColumn("served", F.coalesce(F.sum("tokens").over(before), F.lit(0)).cast("double"))
+    due = due.join(total.select(F.col("source").alias("s"), "share"), F.col("source").eqNullSafe(F.col("s"))).crossJoin(F.broadcast(curve))
+    # At clock v a source has served v times its share, or all that it has; sources without a share come after the others.
+    v = F.when(F.col("share") > 0, F.col("served") / F.col("share")).otherwise(F.lit(float("inf")))
+    at = F.aggregate("curve", F.lit(0.0), lambda acc, x: acc + F.when(x["share"] > 0, F.least(F.lit(1.0), F.col("_v") * x["share"] / x["all"])).otherwise(F.lit(0.0)) * x["rows"])
+    late = F.when(F.col("share") > 0, F.lit(0.0)).otherwise(F.col("slot") / F.lit(buckets * SLOTS) * (F.aggregate("curve", F.lit(0.0), lambda acc, x: acc + F.when(x["share"] > 0, F.lit(0.0)).otherwise(x["rows"].cast("double")))))
+    rank = F.floor((F.col("_at") + late) / bucket_rows)
+    due = due.withColumn("_v", v).withColumn("_at", at).select(F.col("slot").alias("_slot"), F.col("source").alias("_source"), "tokens", F.least(rank, F.lit(buckets - 1)).cast("int").alias("bucket"))
+    due = materialize(due, "due")
+    narrow = narrow.join(due.drop("tokens"), (F.col("slot") == F.col("_slot")) & F.col("source").eqNullSafe(F.col("_source"))).select("bucket", "row", "source", "n", "h")
+
+    sums = due.groupBy("bucket", F.col("_source").alias("source")).agg(F.sum("tokens").alias("tokens"))
+    by_source = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    by_bucket = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sums.groupBy("bucket").agg(F.sum("tokens").alias("tokens")).select("bucket", F.coalesce(F.sum("tokens").over(by_bucket), F.lit(0)).alias("begin"))
+    # What each bucket's queues hold and have served before, and the clock there: that at which the deficits cancel out.
+    served = sums.withColumn("served", F.coalesce(F.sum("tokens").over(by_source), F.lit(0)))
     state = (
-        served.join(shares, F.col("source").eqNullSafe(F.col("s")), "left")
+        served.join(total.select(F.col("source").alias("s"), "share"), F.col("source").eqNullSafe(F.col("s")))
         .join(begins, "bucket")
-        .groupBy("bucket", "begin")
-        .agg(F.collect_list(F.struct("source", F.coalesce("share", F.lit(0.0)).alias("share"), "served")).alias("sources"))
+        .groupBy(F.col("bucket").alias("b"), "begin")
+        .agg(F.collect_list(F.struct("source", "share", "served")).alias("sources"), (F.sum(F.when(F.col("share") > 0, F.col("served"))) / F.sum("share")).alias("clock"))
     )
 
     def schedule(key: tuple, rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
         begin, sources = int(states["begin"].iloc[0]), states["sources"].iloc[0]
+        clock = 0.0 if pd.isna(states["clock"].iloc[0]) else float(states["clock"].iloc[0])
         share = {x["source"]: float(x["share"]) for x in sources}
-        deficit = {x["source"]: float(x["share"]) * begin - float(x["served"]) for x in sources}
+        deficit = {s: share[s] * clock - float(x["served"]) if share[s] > 0 else 0.0 for x in sources for s in [x["source"]]}
         queues: dict[str | None, deque] = {s: deque() for s in share}
         rows = rows.sort_values(["h", "row"])
         names = [None if pd.isna(s) else s for s in rows["source"]]
@@ -198,7 +221,7 @@ def pack(
             queues[s].append((row, n))
         return pd.DataFrame(list(serve(queues, share, deficit, begin, width)), columns=["row", "at"])
 
-    placed = narrow.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInPandas(schedule, "row long, at long")
+    placed = narrow.groupBy("bucket").cogroup(state.groupBy("b")).applyInPandas(schedule, "row long, at long")
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -54,9 +54,9 @@ class FactorizationMachine:
 
 
 def fit(docs: list[np.ndarray], y: np.ndarray, bits: int = TERM_BITS, factors: int = FACTORS, steps: int = 3000, batch: int = 128, rate: float = 0.15, l2: float = 2e-5, seed: int = 7) -> FactorizationMachine:
-    """Mini-batch AdaGrad on the log loss. One class alone, or no rows, gives the smoothed base rate and no terms."""
+    """Mini-batch AdaGrad on the log loss. One class alone, or no rows (a quarter), gives the smoothed base rate and no terms."""
     size, n = 1 << bits, len(docs)
-    base = (float(y.sum()) + 0.5) / (n + 1)
+    base = (float(y.sum()) + 0.5) / (n + 2)
     model = FactorizationMachine(float(np.log(base / (1 - base))), np.zeros(size, np.float32), np.zeros((size, factors), np.float32))
     if n == 0 or y.min() == y.max():
         return model
@@ -67,7 +67,7 @@ def fit(docs: list[np.ndarray], y: np.ndarray, bits: int = TERM_BITS, factors: i
             pos[ids] += 1
     seen = np.flatnonzero(df >= MIN_DOCS)
     expected = df[seen] * base
-    chance = (pos[seen] - expected) ** 2 / (expected * (1 - base) * (1 - df[seen] / (n + 1)) + 1e-9)
+    chance = (pos[seen] - expected) ** 2 / (expected * (1 - base) * (1 - df[seen] / (n + 2)) + 1e-9)
     kept = seen[np.argsort(-chance, kind="stable")[: min(MAX_TERMS, int((chance > MIN_CHI).sum()))]]
     compact = np.full(size, -1, np.int32)
     compact[kept] = np.arange(len(kept), dtype=np.int32)
