@@ -5,7 +5,7 @@ import numpy as np
 from marlstone.llm.common import documents, labels
 from marlstone.llm.toxicity import fit, term_ids, toxicity
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"  # smaller tables hold six held-out toxic rows
 
 
 def test_factors_learn_a_pair_that_no_sum_of_weights_can():
@@ -25,8 +25,8 @@ def test_held_out_accuracy(spark):
     out = toxicity(documents(spark, SF), labels(spark, SF)).join(labels(spark, SF), "doc_id").where("held_out and toxic is not null").collect()
     hits = sum(r.predicted == r.toxic for r in out) / len(out)
     caught = [r.predicted for r in out if r.toxic]
-    assert len(out) > 30 and hits >= 0.95, hits
-    assert not caught or np.mean(caught) >= 0.8
+    assert len(out) > 500 and hits >= 0.97, hits
+    assert np.mean(caught) >= 0.85
 
 
 def test_edges(spark, docs, edge_rows):
