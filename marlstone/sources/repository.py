@@ -48,7 +48,7 @@ def discover_files(spark: SparkSession, root: str, repo: str, excluded: tuple[st
     )
 
 
-def _entity(kind: str, path: str, name: str, start: int, end: int, source: str, **more) -> dict:
+def _entity(kind: str, path: str, name: str, start: int, end: int, source: str, /, **more) -> dict:
     return {
         "entity_id": f"{more.pop('prefix', kind)}:{path}:{more.pop('full', name)}", "name": name, "type": kind, "file_path": path, "start_line": start, "end_line": end,
         "docstring": "", "source_code": source, "params": [], "bases": [], "methods": [], "imports": [], "refs": [], "class": None, "kind": "",
