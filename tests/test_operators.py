@@ -111,7 +111,7 @@ def test_repository(spark, tmp_path):
     assert sorted(r.path for r in files.collect()) == ["notes.md", "pkg/bad.py", "pkg/mod.py"]
     entities = parse_repository(files)
     ids = {r.entity_id for r in entities.collect()}
-    assert {"class:pkg/mod.py:A", "method:pkg/mod.py:A.f", "function:pkg/mod.py:g"} <= ids and not any("hidden" in i for i in ids)
+    assert {"class:pkg/mod.py:A", "method:pkg/mod.py:A.f", "func:pkg/mod.py:g"} <= ids and not any("hidden" in i for i in ids)
     assert chunk_entities(entities, "demo").count() > 0
     assert parse_repository(files.limit(0)).count() == 0
 
