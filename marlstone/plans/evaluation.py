@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import normalize_path
-from marlstone.operators import metrics
+from marlstone.operators import loop, metrics
 from marlstone.operators import vectors as dense
 from marlstone.plans.tables import table, vector_queries, vectors
 
@@ -91,7 +91,15 @@ def stall_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return metrics.stall_jaccard(reduce(DataFrame.unionByName, parts)).select("query_id", F.col("attempt").cast("long").alias("attempt"), F.round("similarity", 6).alias("similarity"))
 
 
-QUERIES = {f.__name__: f for f in (recall_at_k, ndcg_at_k, citation_rate, path_normalize, failure_labels, eval_by_category, ablation_matrix, ab_gate, stall_jaccard)}
+def query_mode(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark texts, and questions and names made of their first letters, by the mode they are searched in."""
+    name = F.concat(F.lit("fn_"), F.col("item_id").cast("string"))
+    made = F.array(F.col("text"), name, F.concat(F.lit("who calls "), name), F.concat(F.lit("why is `"), name, F.lit("` here")), F.concat(F.lit("where is `"), name, F.lit("` defined")), F.lit("plain words only"))
+    asked = table(spark, d, "benchmark").select("item_id", F.posexplode(made).alias("variant", "query"))
+    return asked.select("item_id", F.col("variant").cast("long").alias("variant"), loop.query_mode(F.col("query")).alias("mode"))
+
+
+QUERIES = {f.__name__: f for f in (query_mode, recall_at_k, ndcg_at_k, citation_rate, path_normalize, failure_labels, eval_by_category, ablation_matrix, ab_gate, stall_jaccard)}
 
 
 def _hits_sql(name: str, where: str = "true") -> str:
@@ -113,6 +121,11 @@ _ALL = f"WITH {_hits_sql('h')}, {_GOLD}, {_cases_sql('c', 'h')}"
 _SUMMARY = "count(*) AS n, round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg, round(median(recall), 6) AS recall_p50"
 
 ORACLES = {
+    "query_mode": f"""WITH q AS (SELECT item_id, v::BIGINT AS variant, [text, 'fn_' || item_id, 'who calls fn_' || item_id, 'why is `fn_' || item_id || '` here',
+  'where is `fn_' || item_id || '` defined', 'plain words only'][v + 1] AS q FROM benchmark, range(6) r(v)),
+t AS (SELECT *, regexp_extract_all(lower(q), '[a-z0-9_]+') AS w FROM q)
+SELECT item_id, variant, CASE WHEN list_has_any(w, {list(loop.GRAPH_WORDS)}) OR contains(lower(q), 'who calls') OR contains(lower(q), 'used by') THEN 'graph'
+  WHEN list_has_any(w, {list(loop.EXPLAIN_WORDS)}) THEN 'hybrid' WHEN variant IN (1, 4) THEN 'bm25' ELSE 'hybrid' END AS mode FROM t""",
     "recall_at_k": f"{_ALL} SELECT query_id, round(recall, 6) AS recall FROM c",
     "ndcg_at_k": f"{_ALL} SELECT query_id, round(ndcg, 6) AS ndcg FROM c",
     "citation_rate": r"""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+([^?#]*)', 1) AS path FROM pages),
