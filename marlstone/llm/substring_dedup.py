@@ -1,9 +1,9 @@
 """Substring dedup: MinHash banding over paragraphs, exact verification, removals clustered by components.
 
-A document's units are its lines of at least ``WINDOW`` words, sketched by MinHash bands over five-word shingles, and windows of
-``WINDOW`` words that begin at winnowed anchors (the least three-word hash of any ``WINDOW`` in a row), whose one band is all of
-their words. Both ends of a passage that two documents share sit anywhere in a line, and every shared run of
-``2 * WINDOW - 1`` words has a window in common.
+A document's units are its paragraphs (lines, and blocks of several lines up to a blank one), sketched by MinHash bands over
+five-word shingles, and windows of ``WINDOW`` words that begin at winnowed anchors (the least three-word hash of any ``WINDOW`` in
+a row), whose one band is all of their words. The registered query sketches every paragraph that holds a shingle. Both ends of a
+passage that two documents share sit anywhere in a line, and every shared run of ``2 * WINDOW - 1`` words has a window in common.
 
 First pass: only 64-bit band keys are counted. Second pass: only units with a key of several documents are kept, each with the
 128-bit digest of its words; lines keep their words too. Units are verified (windows: equal digests of all their words; lines: exact
@@ -87,13 +87,15 @@ class Sketch:
     words: list[bytes]
     windows: np.ndarray  # starts
     window_keys: np.ndarray
-    lines: list[tuple[int, int]]  # start, words
+    lines: list[tuple[int, int]]  # start, words: lines and blocks of several lines
     line_keys: np.ndarray  # a row of band keys for each line
 
 
 class Sketcher:
-    def __init__(self, window: int = WINDOW, shingle: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL) -> None:
+    def __init__(self, window: int = WINDOW, shingle: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, least: int | None = None) -> None:
         self.window, self.shingle = window, shingle
+        #: Fewest words of a paragraph; less than a shingle can't be compared.
+        self.least = max(window if least is None else least, shingle)
         self.bands, self.rows = tune_bands(similarity, recall)
         rng = np.random.default_rng(2024)
         k = self.bands * self.rows
@@ -104,15 +106,24 @@ class Sketcher:
     def sketch(self, text: str | None) -> Sketch:
         words: list[bytes] = []
         lines: list[tuple[int, int]] = []
-        for line in (text or "").encode("utf-8", "replace").lower().split(b"\n"):
+        begin, held = 0, 0
+        for line in [*(text or "").encode("utf-8", "replace").lower().split(b"\n"), b""]:
             own = line.split()
-            if len(own) >= self.window:
+            if not own:
+                if held > 1 and len(words) - begin >= self.least:
+                    lines.append((begin, len(words) - begin))
+                held = 0
+                continue
+            begin, held = begin if held else len(words), held + 1
+            if len(own) >= self.least:
                 lines.append((len(words), len(own)))
             words += own
         none = np.zeros(0, dtype=np.uint64)
-        if len(words) < self.window:
+        if len(words) < min(self.window, self.least):
             return Sketch(words, none.astype(np.int64), none, [], none.reshape(0, self.bands))
         h = _mix(np.fromiter(map(zlib.crc32, words), dtype=np.uint64, count=len(words)) * _P + _Q)
+        if len(words) < self.window:
+            return Sketch(words, none.astype(np.int64), none, lines, self.line_keys(h, lines))
         starts = self.anchors(h)
         at = starts[:, None] + np.arange(self.window)
         keys = _mix((h[at] * self.powers[: self.window]).sum(axis=1, dtype=np.uint64))
@@ -233,11 +244,15 @@ def units(docs: DataFrame, id_col: str, text_col: str, sketcher: Sketcher) -> Da
 
 def line_links(classes: DataFrame, similarity: float, shingle: int, block: int = BLOCK) -> DataFrame:
     """``classes``: ``node, text, keys`` of distinct lines. Links ``a, b`` that connect them as all verified pairs of a band do."""
-    rows = classes.select("node", "text", F.explode("keys").alias("key"))
+    rows = classes.select("node", F.explode("keys").alias("key"))
     sizes = rows.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / block).cast("int").alias("g"))
     own = F.pmod(F.xxhash64("node"), F.col("g")).cast("int")
+    # Texts move only for keys that several distinct lines hold.
+    live = rows.join(sizes, "key").groupBy("node").agg(F.collect_list(F.struct("key", "g")).alias("live"))
     dealt = (
-        rows.join(sizes, "key")
+        classes.select("node", "text")
+        .join(live, "node")
+        .select("node", "text", F.inline("live"))
         .withColumn("own", own)
         .select("key", "node", "text", "own", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
         .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "text")
@@ -290,6 +305,7 @@ def substring_dedup(
     similarity: float = SIMILARITY,
     recall: float = RECALL,
     block: int = BLOCK,
+    least: int | None = None,
 ) -> DataFrame:
     """One row per input row: ``id_col, component_id, n_links, n_words, removed_words, removed_spans``.
 
@@ -298,9 +314,10 @@ def substring_dedup(
     word ranges, comma-joined, that a document with a smaller id keeps; ``removed_words`` is their length. Null and empty
     texts share nothing. Rows with one id count as one document, so copies of a row aren't removed for each other; each
     has the spans of its own text. Rows with a null id share nothing. Extra columns are ignored; an empty table gives no rows.
+    ``least``: fewest words of a paragraph that is sketched, ``window`` if not given; ``shingle`` leaves none out.
     """
     small_batches(docs)
-    table = units(docs, id_col, text_col, Sketcher(window, shingle, similarity, recall))
+    table = units(docs, id_col, text_col, Sketcher(window, shingle, similarity, recall, least))
     parts = table.where("kind > 0")
     # Equal units first: each distinct one is a class, however many documents hold it. A window's class is its cluster.
     windows = parts.where("kind = 1").groupBy("d1", "d2").agg(F.min("id").alias("keep"), F.max("id").alias("most")).where("keep < most").drop("most")
@@ -340,4 +357,4 @@ def substring_dedup(
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(documents(spark, sf_dir))
+    return substring_dedup(documents(spark, sf_dir), least=SHINGLE)

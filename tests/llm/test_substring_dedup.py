@@ -1,6 +1,6 @@
 import random
 
-from marlstone.llm.substring_dedup import Sketcher, line_links, shingle_set, similar, substring_dedup, tune_bands
+from marlstone.llm.substring_dedup import Sketcher, line_links, op1_substring_dedup, shingle_set, similar, substring_dedup, tune_bands
 
 SPAN = 49  # every shared run of 2 * WINDOW - 1 words has a window in common
 
@@ -92,3 +92,17 @@ def test_one_word_repeated(docs):
     assert len(s.windows) == 200
     out = {x.doc_id: x for x in substring_dedup(docs([(1, "la " * 100, "s"), (2, "la " * 60, "s"), (3, "na " * 60, "s")])).collect()}
     assert out[2].component_id == 1 and out[3].n_links == 0
+
+
+def test_query_sketches_short_and_wrapped_paragraphs(spark, docs, tmp_path):
+    r = random.Random(8)
+    short, five = " ".join(prose(r, 12)), " ".join(prose(r, 5))
+    wrapped = prose(r, 60)
+    near = [*wrapped[:20], "changed", *wrapped[21:]]
+    wrap = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+    own = lambda: wrap(prose(r, 40), 10)
+    texts = [f"{own()}\n\n{x}\n\n{own()}" for x in (short, short, wrap(wrapped, 9), wrap(near, 7))] + [five, five, own(), "four words are few", "four words are few"]
+    docs([(i, t, "s") for i, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {x.doc_id: x for x in op1_substring_dedup(spark, str(tmp_path)).collect()}
+    assert [out[i].component_id for i in range(9)] == [0, 0, 2, 2, 4, 4, 6, 7, 8]
+    assert [out[i].removed_spans for i in range(9)] == ["", "40:52", "", "40:100", "", "0:5", "", "", ""]
