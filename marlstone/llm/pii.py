@@ -34,8 +34,8 @@ GENERATORS = {
     "mail": r"[A-Za-z0-9._%+-]++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:\x20?[\[(](?:dot|DOT)[\])]\x20?[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)++",
     "account": r"[0-9](?:[\x20-]?[0-9]){7,}+",
 }
-#: A guard that is cheap to test: without it the pattern can't match.
-GUARD = {"email": "@", "phone": "+", "mail": "("}
+#: Guards that are cheap to test: without any of its characters the pattern can't match.
+GUARD = {"email": "@", "phone": "+", "mail": "(["}
 CONTEXT = 32
 #: Feature: where it is looked for, and a pattern that Java and Python read alike.
 FEATURES = {
@@ -173,7 +173,7 @@ def found_spans(text: Column, pattern: str, guard: str | None) -> Column:
     kind = "array<struct<start:int,stop:int,m:string,before:string>>"
     matches = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(0))
     if guard:
-        matches = F.when(F.contains(text, F.lit(guard)), matches).otherwise(F.array().cast("array<string>"))
+        matches = F.when(reduce(lambda p, q: p | q, [F.contains(text, F.lit(c)) for c in guard]), matches).otherwise(F.array().cast("array<string>"))
 
     def place(ms: Column) -> Column:
         between = F.split(text, pattern, -1)

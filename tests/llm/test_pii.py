@@ -86,3 +86,9 @@ def test_python_and_spark_features_agree(spark):
     df = spark.createDataFrame([(b[-32:], m) for b, m, _ in rows], "before string, m string")
     got = df.select([F.regexp(F.col(where), F.lit(p)) for where, p in FEATURES.values()]).collect()
     assert [tuple(r) for r in got] == [features_of(b, m) for b, m, _ in rows]
+
+
+def test_mail_in_square_brackets_alone(docs):
+    rows = [(1, "jane [at] example [dot] com", "s"), (2, "jane (at) example (dot) com", "s"), (3, "jane [at] example.com", "s"), (4, "jane at example dot com", "s")]
+    out = {r.doc_id: r.spans for r in find_pii(docs(rows)).collect()}
+    assert out == {1: "mail:0:27", 2: "mail:0:27", 3: "mail:0:21", 4: ""}
