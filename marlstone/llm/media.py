@@ -1,9 +1,10 @@
 """Media columns: content-defined chunks, a chunk store deduplicated by Spark joins, ordered chunk lists.
 
-A payload is cut where a rolling gear hash of its last 32 bytes meets a mask, so equal passages give equal chunks wherever they
-stand. A first, narrow pass counts chunk digests. Chunks that occur once stay inline in their media row; the others go to a store
-that holds each digest once, and the media row's ordered list refers to them. So the corpus itself is never shuffled: only digests
-and repeated chunks are. Reading joins the lists with the store, puts each medium together and checks its digest.
+Every payload becomes a WAV file, and that file is what is cut, stored and read back. It is cut where a rolling gear hash of its last
+32 bytes meets a mask, so equal passages give equal chunks wherever they stand. A first, narrow pass counts chunk digests. A second
+writes the media: chunks that occur once stay inline in their media row; the others go to a store that holds each digest once, and the
+media row's ordered list refers to them. So the corpus itself is never shuffled: only digests and repeated chunks are. Reading joins
+the lists with the store, puts each file together, checks its digest and only then reads samples from it.
 """
 
 from __future__ import annotations
@@ -23,9 +24,11 @@ from marlstone.llm.common import documents, materialize, slot_map, small_batches
 UNIT = 64
 MIN_CHUNK, MAX_CHUNK, MASK_BITS = 256, 8192, 10
 SAMPLE_RATE = 8000
-#: Bits of the map of repeated digests that executors get: at most 8 MB, whatever the corpus holds. A full map only sends more
-#: chunks to the store; results don't depend on it.
-MAP_BITS = 26
+#: The map of repeated digests that executors get has at least 32 slots for each, and at most 2 ** 28 slots (32 MB). Beyond 8 million
+#: repeated digests it fills up, which only sends more chunks to the store; results don't depend on it.
+LEAST_BITS, MOST_BITS, SLOT_BITS = 18, 28, 5
+#: Digests of stored chunks that a task remembers, so that it writes a chunk of its own copies once.
+REMEMBERED = 100_000
 
 _GEAR = np.frombuffer(b"".join(hashlib.sha256(f"gear-{i}".encode()).digest()[:4] for i in range(256)), dtype="<u4")
 
@@ -99,69 +102,77 @@ def _chunks(payload: bytes) -> list[bytes]:
     return out
 
 
-def _slot(digest: bytes) -> int:
-    return int.from_bytes(digest[:4], "big") >> (32 - MAP_BITS)
+def _inflated(data: bytes) -> bytes:
+    try:
+        return zlib.decompress(data)
+    except zlib.error:
+        return b""
 
 
-def repeated_map(texts: DataFrame) -> np.ndarray:
-    """A bit for each slot of repeated chunk digests; the driver gets at most ``2 ** (MAP_BITS - 3)`` bytes."""
+def _slot(digest: bytes, bits: int) -> int:
+    return int.from_bytes(digest[:4], "big") >> (32 - bits)
+
+
+def repeated_map(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit for each slot of repeated chunk digests, and the bits of a slot number."""
 
     @F.pandas_udf("array<binary>")
     def digests(batch: pd.Series) -> pd.Series:
-        return pd.Series([[hashlib.sha256(c).digest() for c in _chunks(padded(t)[1])] for t in batch])
+        return pd.Series([[hashlib.sha256(c).digest() for c in _chunks(wav(padded(t)[1]))] for t in batch])
 
-    each = texts.select(F.explode(digests("_text")).alias("d"))
-    slot = F.shiftrightunsigned(F.conv(F.hex(F.substring("d", 1, 4)), 16, 10).cast("long"), 32 - MAP_BITS)
-    repeated = each.groupBy("d").count().where("count > 1").select(slot.alias("s"))
-    return slot_map(repeated, MAP_BITS)
+    repeated = materialize(texts.select(F.explode(digests("_text")).alias("d")).groupBy("d").count().where("count > 1").select(F.substring("d", 1, 4).alias("d")), "repeated")
+    bits = min(MOST_BITS, max(LEAST_BITS, repeated.count().bit_length() + SLOT_BITS))
+    slot = F.shiftrightunsigned(F.conv(F.hex("d"), 16, 10).cast("long"), 32 - bits)
+    return slot_map(repeated.select(slot.alias("s")), bits), bits
 
 
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Writes both tables and returns them as read back.
 
-    Media: ``row, id, n_bytes, sha, samples, lengths, digests, inline`` - per chunk its length and, if it is in the store, its digest
-    (else null); ``inline`` has the other chunks' bytes in order. Store: ``digest, bytes``, each digest once.
+    Media: ``row, id, n_bytes, sha, size, lengths, digests, inline`` - digest and length of the file, and for each chunk its length and,
+    if it is in the store, its digest (else null); ``inline`` has the other chunks' bytes in order. Store: ``digest, bytes``, each digest once.
     """
     spark = docs.sparkSession
     small_batches(docs)
     texts = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
-    shared = spark.sparkContext.broadcast(repeated_map(texts))
-
-    def split(text: str) -> tuple[int, bytes, list[bytes], list[bytes | None]]:
-        n, payload = padded(text)
-        parts, held, keys = _chunks(payload), shared.value, []
-        for c in parts:
-            d = hashlib.sha256(c).digest()
-            s = _slot(d)
-            keys.append(d if int(held[s >> 6]) >> (s & 63) & 1 else None)
-        return n, payload, parts, keys
-
-    @F.pandas_udf("n_bytes long, sha string, samples long, lengths array<int>, digests array<binary>, inline binary")
-    def media(batch: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in batch:
-            n, payload, parts, keys = split(t)
-            inline = b"".join(c for c, k in zip(parts, keys, strict=True) if k is None)
-            out.append((n, hashlib.sha256(payload).hexdigest(), len(payload), [len(c) for c in parts], keys, inline))
-        return pd.DataFrame(out, columns=["n_bytes", "sha", "samples", "lengths", "digests", "inline"])
-
-    @F.pandas_udf("array<struct<digest: binary, bytes: binary>>")
-    def repeated(batch: pd.Series) -> pd.Series:
-        out = []
-        for t in batch:
-            _, _, parts, keys = split(t)
-            own = {k: c for c, k in zip(parts, keys, strict=True) if k is not None}
-            out.append([{"digest": k, "bytes": zlib.compress(c, 6)} for k, c in own.items()])
-        return pd.Series(out)
-
-    table = materialize(texts.select(F.monotonically_increasing_id().alias("row"), F.col("_id").alias("id"), media("_text").alias("m")).select("row", "id", "m.*"), "media")
-    # Each digest once; copies meet map-side first. Readers check every payload, so a wrong chunk can't pass unseen.
-    store = texts.select(F.explode(repeated("_text")).alias("c")).select("c.*").groupBy("digest").agg(F.first("bytes").alias("bytes"))
-    return table, materialize(store, "chunks")
+    held, bits = repeated_map(texts)
+    shared = spark.sparkContext.broadcast(held)
+    columns = ["row", "id", "n_bytes", "sha", "size", "lengths", "digests", "inline", "digest", "bytes"]
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[bytes] = set()
+        for b in batches:
+            out: list[tuple] = []
+            for row, i, t in zip(b["row"], b["id"], b["text"], strict=True):
+                n, payload = padded(t)
+                data = wav(payload)
+                parts, keys = _chunks(data), []
+                for c in parts:
+                    d = hashlib.sha256(c).digest()
+                    s = _slot(d, bits)
+                    keys.append(d if int(shared.value[s >> 6]) >> (s & 63) & 1 else None)
+                    if keys[-1] is not None and d not in seen:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
+                        seen.add(d)
+                        out.append((row, None, None, None, None, None, None, None, d, zlib.compress(c, 6)))
+                inline = b"".join(c for c, k in zip(parts, keys, strict=True) if k is None)
+                out.append((row, i, n, hashlib.sha256(data).hexdigest(), len(data), [len(c) for c in parts], keys, inline, None, None))
+            made = pd.DataFrame(out, columns=columns)
+            yield made.astype({"n_bytes": "Int64", "size": "Int64"} | ({"id": "Int64"} if kind in ("bigint", "int") else {}))
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"row long, id {kind}, n_bytes long, sha string, size long, lengths array<int>, digests array<binary>, inline binary, digest binary, bytes binary"
+    rows = texts.select(F.monotonically_increasing_id().alias("row"), F.col("_id").alias("id"), F.col("_text").alias("text"))
+    table = materialize(rows.mapInPandas(write, schema), "media")
+    # Each digest once; a task's copies have met already. Readers check every file, so a wrong chunk can't pass unseen.
+    store = table.where("digest is not null").groupBy("digest").agg(F.first("bytes").alias("bytes"))
+    return table.where("digest is null").drop("digest", "bytes"), materialize(store, "chunks")
 
 
 def read_media(table: DataFrame, store: DataFrame) -> DataFrame:
-    """``id, n_bytes, samples, sha, media``: every medium put together from its chunks as a WAV file, its digest checked."""
+    """``id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature``: every file put together from its
+    chunks and its digest checked; a chunk that is lost or damaged is a ValueError."""
     has = F.exists("digests", lambda d: d.isNotNull())
     refs = table.where(has).select("row", F.explode(F.array_distinct(F.filter("digests", lambda d: d.isNotNull()))).alias("digest"))
     parts = refs.join(store, "digest").groupBy("row").agg(F.collect_list(F.struct("digest", "bytes")).alias("parts"))
@@ -170,7 +181,7 @@ def read_media(table: DataFrame, store: DataFrame) -> DataFrame:
     def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for i, n, sha, size, lengths, digests, inline, own in zip(*(b[c] for c in ("id", "n_bytes", "sha", "samples", "lengths", "digests", "inline", "parts")), strict=True):
+            for i, n, sha, size, lengths, digests, inline, own in zip(*(b[c] for c in ("id", "n_bytes", "sha", "size", "lengths", "digests", "inline", "parts")), strict=True):
                 held = {bytes(p["digest"]): p["bytes"] for p in own} if own is not None else {}
                 at, pieces = 0, []
                 for length, d in zip(lengths, digests, strict=True):
@@ -178,18 +189,19 @@ def read_media(table: DataFrame, store: DataFrame) -> DataFrame:
                         pieces.append(inline[at : at + length])
                         at += length
                     else:
-                        pieces.append(zlib.decompress(held[bytes(d)]))
-                samples = b"".join(pieces)
-                if len(samples) != size or hashlib.sha256(samples).hexdigest() != sha:
-                    raise ValueError(f"the chunks of {i} don't give back its payload")
-                data = wav(samples)
+                        pieces.append(_inflated(held.get(bytes(d), b"")))
+                data = b"".join(pieces)
+                found = hashlib.sha256(data).hexdigest()
+                if len(data) != size or found != sha:
+                    raise ValueError(f"the chunks of {i} don't give back its file")
                 x = wav_samples(data)
-                out.append((i, n, len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature(x)))
+                out.append((i, n, len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-UNIT:]), len(data), found, feature(x)))
             yield pd.DataFrame(out, columns=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]).astype({"id": b["id"].dtype})
 
     schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     plain = table.where(~has).withColumn("parts", F.lit(None).cast("array<struct<digest: binary, bytes: binary>>"))
-    joined = table.where(has).join(parts, "row")
+    # A file all of whose references are lost must fail its check, so no row is dropped here.
+    joined = table.where(has).join(parts, "row", "left")
     return plain.mapInPandas(assemble, schema).unionByName(joined.select(*plain.columns).mapInPandas(assemble, schema))
 
 

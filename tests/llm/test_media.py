@@ -1,13 +1,15 @@
 import hashlib
+import math
 import random
 import zlib
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from marlstone.llm.common import documents
-from marlstone.llm.media import MAX_CHUNK, MIN_CHUNK, cuts, gear_hashes, media_columns, read_media, store_media, wav, wav_samples
+from marlstone.llm.media import MAX_CHUNK, MIN_CHUNK, cuts, feature, gear_hashes, media_columns, read_media, store_media, wav, wav_samples
 
 
 def payload(text):
@@ -62,10 +64,43 @@ def test_all_documents_and_each_digest_once(spark):
     assert store.count() == store.select("digest").distinct().count() > 0
 
 
-def test_a_lost_chunk_is_noticed(spark, docs):
+@pytest.mark.parametrize("damage", ["cut", "other", "lost"])
+def test_a_lost_or_wrong_chunk_is_noticed(spark, docs, damage):
     r = random.Random(4)
     text = "".join(r.choice("abcdef ") for _ in range(20_000))
     table, store = store_media(docs([(1, text, "s"), (2, text, "s")]))
-    broken = store.withColumn("bytes", store["bytes"].substr(1, 3))
-    with pytest.raises(Exception, match="(?i)error"):
-        read_media(table, broken).collect()
+    wrong = {"cut": store.withColumn("bytes", store["bytes"].substr(1, 3)), "other": store.withColumn("bytes", F.lit(zlib.compress(b"other"))), "lost": store.where("false")}
+    with pytest.raises(Exception, match="don't give back its file"):
+        read_media(table, wrong[damage]).collect()
+
+
+def test_the_stored_bytes_are_the_wav_file(docs):
+    text = "a stored text " * 5
+    table, store = store_media(docs([(1, text, "s")]))
+    (row,) = table.collect()
+    assert store.count() == 0 and bytes(row.inline) == wav(payload(text)) and row.sha == hashlib.sha256(wav(payload(text))).hexdigest()
+
+
+def test_null_ids(docs):
+    out = media_columns(docs([(None, "a", "s"), (7, None, "s"), (None, "a", "s")])).collect()
+    assert sorted((r.doc_id is None, r.n_bytes) for r in out) == [(False, 0), (True, 1), (True, 1)]
+
+
+def by_hand(samples):
+    """The feature string, sample by sample."""
+    x = [b - 128 for b in samples]
+    crossings = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))
+    bins = [sum(b // 32 == k for b in samples) for k in range(8)]
+    return f"mean={sum(x) / len(x):.6f};rms={math.sqrt(sum(v * v for v in x) / len(x)):.6f};crossings={crossings};histogram={'/'.join(map(str, bins))}"
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.binary(min_size=1, max_size=300))
+def test_feature(samples):
+    assert feature(samples) == by_hand(samples)
+
+
+def test_feature_of_documents(spark):
+    d = documents(spark, "/root/testdata/sf0.001")
+    texts = {r.doc_id: r.text for r in d.collect()}
+    assert all(r.feature == by_hand(payload(texts[r.doc_id])) for r in media_columns(d).collect())
