@@ -1,7 +1,9 @@
 """Toxicity: a factorization machine over hashed terms.
 
 ``score = sigmoid(w0 + sum w_i + sum_{i<j} <v_i, v_j>)`` over the distinct terms of a text, so that a pair of terms (an insult
-and the mention of a group) can weigh what neither weighs alone.
+and the mention of a group) can weigh what neither weighs alone. Terms are screened by how many texts hold them, never by their own
+effect on the label: a term that only counts together with another has none. What keeps rare words from being learned by heart
+is shrinkage towards zero of weights and factors and a held-back part of the rows that picks the moment to stop.
 """
 
 from __future__ import annotations
@@ -22,17 +24,17 @@ TERM_BITS = 18
 FACTORS = 4
 #: Labelled rows to fit on at most, those with the smallest hash of their id.
 TRAIN_ROWS = 12_000
-#: Terms that get weights: those in at least ``MIN_DOCS`` of the fitted rows whose chi-square against the label is over
-#: ``MIN_CHI``, the largest first. Without that screen a small sample is learned by heart from its rare words.
-MIN_DOCS = 3
-MIN_CHI = 12.0
-MAX_TERMS = 20_000
+#: Terms that get weights are those in at least this many, and this share, of the fitted rows.
+MIN_DOCS, MIN_SHARE = 3, 0.001
+#: Words longer than this also count as their first letters, which inflected forms share.
+STEM = 5
 _EDGE = string.punctuation + "«»„“”‘’…¡¿–—"
 
 
 def term_ids(text: str | None, bits: int = TERM_BITS) -> np.ndarray:
-    """Sorted distinct hashes of the lower-cased words of the whole text, stripped of punctuation."""
+    """Sorted distinct hashes of the lower-cased words of the whole text, stripped of punctuation, and of the stems of long words."""
     words = {w.strip(_EDGE) for w in set((text or "").lower().split())}
+    words |= {w[:STEM] + "-" for w in words if len(w) > STEM}
     words.discard("")
     mask = (1 << bits) - 1
     return np.unique(np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) & mask for w in words), dtype=np.int32, count=len(words)))
@@ -53,54 +55,84 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(self.margin(ids), -60, 60))))
 
 
-def fit(docs: list[np.ndarray], y: np.ndarray, bits: int = TERM_BITS, factors: int = FACTORS, steps: int = 3000, batch: int = 128, rate: float = 0.15, l2: float = 2e-5, seed: int = 7) -> FactorizationMachine:
-    """Mini-batch AdaGrad on the log loss. One class alone, or no rows (a quarter), gives the smoothed base rate and no terms."""
+def _margins(w0: float, w: np.ndarray, v: np.ndarray, ids: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Margins of ``n`` rows whose terms are ``ids`` (``owner``: the row of each), and the sums of their factors."""
+    own = v[ids]
+    total = np.stack([np.bincount(owner, weights=own[:, k], minlength=n) for k in range(v.shape[1])], axis=1) if v.shape[1] else np.zeros((n, 0))
+    square = np.bincount(owner, weights=(own * own).sum(axis=1), minlength=n)
+    return w0 + np.bincount(owner, weights=w[ids], minlength=n) + 0.5 * ((total * total).sum(axis=1) - square), total
+
+
+def _shrunk(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Rows moved towards zero by ``by``, and to zero where they are shorter."""
+    size = np.abs(x) if x.ndim == 1 else np.sqrt((x * x).sum(axis=1))
+    keep = np.maximum(0.0, 1 - by / np.maximum(size, 1e-12))
+    return x * (keep if x.ndim == 1 else keep[:, None])
+
+
+def fit(
+    docs: list[np.ndarray], y: np.ndarray, bits: int = TERM_BITS, factors: int = FACTORS, steps: int = 1500, batch: int = 128, rate: float = 0.15, l1: float = 1e-3, l1_factors: float = 3e-3, patience: int = 6, seed: int = 7
+) -> FactorizationMachine:
+    """Mini-batch AdaGrad on the log loss with shrinkage; each eighth row is held back and picks the step whose model stays.
+
+    One class alone, or no rows (one half), gives the smoothed base rate and no terms.
+    """
     size, n = 1 << bits, len(docs)
-    base = (float(y.sum()) + 0.5) / (n + 2)
+    base = (float(y.sum()) + 0.5) / (n + 1)
     model = FactorizationMachine(float(np.log(base / (1 - base))), np.zeros(size, np.float32), np.zeros((size, factors), np.float32))
     if n == 0 or y.min() == y.max():
         return model
-    df, pos = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    for ids, label in zip(docs, y, strict=True):
+    df = np.zeros(size, np.int64)
+    for ids in docs:
         df[ids] += 1
-        if label:
-            pos[ids] += 1
-    seen = np.flatnonzero(df >= MIN_DOCS)
-    expected = df[seen] * base
-    chance = (pos[seen] - expected) ** 2 / (expected * (1 - base) * (1 - df[seen] / (n + 2)) + 1e-9)
-    kept = seen[np.argsort(-chance, kind="stable")[: min(MAX_TERMS, int((chance > MIN_CHI).sum()))]]
+    kept = np.flatnonzero(df >= max(MIN_DOCS, MIN_SHARE * n))
     compact = np.full(size, -1, np.int32)
     compact[kept] = np.arange(len(kept), dtype=np.int32)
     rows = [c[c >= 0] for c in (compact[ids] for ids in docs)]
+    rng = np.random.default_rng(seed)
+    order = rng.permutation(n)
+    held, used = (order[: n // 8], order[n // 8 :]) if n >= 80 else (order, order)
+
+    def flat(pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([rows[i] for i in pick]), np.repeat(np.arange(len(pick)), [len(rows[i]) for i in pick])
+
     # Positives are few; the root of the odds keeps a single strong term above the threshold without flooding it.
     weight = np.where(y > 0, np.sqrt((1 - base) / base), 1.0) if base < 0.5 else np.ones(n)
-    rng = np.random.default_rng(seed)
-    w, v = np.zeros(len(kept)), rng.normal(0, 0.05, (len(kept), factors))
-    gw, gv, w0, g0 = np.full(len(kept), 1e-6), np.full((len(kept), factors), 1e-6), model.w0, 1e-6
-    for _ in range(steps):
-        pick = rng.integers(0, n, batch)
-        ids = np.concatenate([rows[i] for i in pick])
-        ends = np.cumsum([len(rows[i]) for i in pick])
-        owner = np.repeat(np.arange(batch), np.diff(np.r_[0, ends]))
-        own = v[ids]
-        total = np.zeros((batch, factors))
-        np.add.at(total, owner, own)
-        linear = np.bincount(owner, weights=w[ids], minlength=batch)
-        square = np.bincount(owner, weights=(own * own).sum(axis=1), minlength=batch)
-        z = w0 + linear + 0.5 * ((total * total).sum(axis=1) - square)
+    m = len(kept)
+    w, v, w0 = np.zeros(m), rng.normal(0, 0.02, (m, factors)), model.w0
+    gw, gv, g0 = np.full(m, 1e-6), np.full((m, factors), 1e-5), 1e-6
+    held_ids, held_owner = flat(held)
+    best, since = (np.inf, w0, w, v), 0
+    frozen = False
+    for step in range(1, 2 * steps + 1):
+        pick = used[rng.integers(0, len(used), batch)]
+        ids, owner = flat(pick)
+        z, total = _margins(w0, w, v, ids, owner, batch)
         g = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y[pick]) * weight[pick] / batch
-        uniq, inv = np.unique(ids, return_inverse=True)
-        dw = np.bincount(inv, weights=g[owner], minlength=len(uniq)) + l2 * w[uniq]
-        dv = np.zeros((len(uniq), factors))
-        np.add.at(dv, inv, g[owner, None] * (total[owner] - own))
-        dv += l2 * v[uniq]
-        gw[uniq] += dw * dw
-        gv[uniq] += dv * dv
+        dw = np.bincount(ids, weights=g[owner], minlength=m)
+        pull = g[owner, None] * (total[owner] - v[ids])
+        dv = np.stack([np.bincount(ids, weights=pull[:, k], minlength=m) for k in range(factors)], axis=1) if factors else np.zeros((m, 0))
+        gw += dw * dw
         g0 += g.sum() ** 2
-        w[uniq] -= rate * dw / np.sqrt(gw[uniq])
-        v[uniq] -= 0.1 * rate * dv / np.sqrt(gv[uniq])
+        seen = np.bincount(ids, minlength=m) > 0
+        pace = rate / np.sqrt(gw)
+        w = _shrunk(w - pace * dw, np.where(seen, l1 * pace, 0))
+        if not frozen:
+            gv += dv * dv
+            pace_v = rate / np.sqrt(gv)
+            v = _shrunk(v - pace_v * dv, np.where(seen, l1_factors * pace_v.mean(axis=1), 0) if factors else np.zeros(m))
         w0 -= 0.3 * rate * g.sum() / np.sqrt(g0)
-    model.w0, model.w[kept], model.v[kept] = float(w0), w, v
+        if step % 50 == 0:
+            z, _ = _margins(w0, w, v, held_ids, held_owner, len(held))
+            loss = float((weight[held] * np.logaddexp(0, np.where(y[held] > 0, -z, z))).mean())
+            best, since = ((loss, w0, w.copy(), v.copy()), 0) if loss < best[0] - 1e-5 else (best, since + 1)
+            if frozen and since >= patience:
+                break
+            if not frozen and (step >= steps or since >= patience and step >= steps // 3):
+                # The factors stay as they were at their best; the weights settle around them.
+                frozen, since, (_, w0, w, v) = True, 0, (best[0], best[1], best[2].copy(), best[3])
+                gw, g0 = np.full(m, 1e-6), 1e-6
+    _, model.w0, model.w[kept], model.v[kept] = best
     return model
 
 

@@ -3,22 +3,39 @@ import random
 import numpy as np
 
 from marlstone.llm.common import documents, labels
-from marlstone.llm.toxicity import fit, term_ids, toxicity
+from marlstone.llm.toxicity import FactorizationMachine, fit, term_ids, toxicity
 
 SF = "/root/testdata/sf0.1"  # smaller tables hold six held-out toxic rows
 
 
-def test_factors_learn_a_pair_that_no_sum_of_weights_can():
-    """Label 1 if both or neither of two terms stand: exclusive-or, out of reach of additive weights."""
-    r = random.Random(3)
-    rows, y = [], []
-    for _ in range(600):
+def exclusive(n, seed):
+    r, rows, y = random.Random(seed), [], []
+    for _ in range(n):
         a, b = r.random() < 0.5, r.random() < 0.5
-        rows.append(term_ids(" ".join([*(["insult"] * a), *(["group"] * b), *(f"w{r.randint(0, 20)}" for _ in range(3))])))
-        y.append(float(a and b) if r.random() < 0.98 else 0.0)
-    model = fit(rows, np.array(y))
-    both, one, other = (model.score(term_ids(t)) for t in ("insult group", "insult", "group"))
-    assert both > 0.5 > max(one, other)
+        rows.append(term_ids(" ".join([*(["alpha"] * a), *(["beta"] * b), *(f"w{r.randrange(400)}" for _ in range(25))])))
+        y.append(float(a != b))
+    return rows, np.array(y)
+
+
+def accuracy(model, rows, y):
+    return np.mean([(model.score(x) >= 0.5) == bool(t) for x, t in zip(rows, y, strict=True)])
+
+
+def test_factors_learn_a_pair_that_no_sum_of_weights_can():
+    """Label 1 if one of two terms stands, but not both: out of reach of additive weights, and no term alone tells anything."""
+    rows, y = exclusive(2500, 3)
+    other = exclusive(500, 4)
+    assert accuracy(fit(rows, y), *other) >= 0.95
+    assert accuracy(fit(rows, y, factors=0), *other) < 0.65
+
+
+def test_margin_is_the_sum_over_terms_and_pairs():
+    r = np.random.default_rng(1)
+    m = FactorizationMachine(0.3, r.normal(size=64), r.normal(size=(64, 4)))
+    for n in (0, 1, 2, 9):
+        ids = r.choice(64, n, replace=False)
+        pairs = sum(float(m.v[i] @ m.v[j]) for k, i in enumerate(ids) for j in ids[k + 1 :])
+        assert abs(m.margin(ids) - (0.3 + m.w[ids].sum() + pairs)) < 1e-9
 
 
 def test_held_out_accuracy(spark):
