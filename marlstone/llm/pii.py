@@ -3,7 +3,7 @@
 All of it runs as DataFrame expressions. The base kinds (email, ip, card, phone) are rules; the method's own kinds are proposed by
 loose patterns whose spans may overlap, and boosted trees decide. Every feature is one pattern matched against the span or the
 text before it, so the trees see at most ``2**len(FEATURES)`` cells; they are fitted on a built-in, generated set of labelled
-spans (``TRAIN_SPANS`` of them) and compiled to CASE expressions.
+spans (``TRAIN_SPANS`` of them) with some from documents, labelled by hand, and compiled to CASE expressions.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import math
 import random
 import re
 from collections import Counter
+from collections.abc import Callable
 from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +38,8 @@ GENERATORS = {
 #: Guards that are cheap to test: without any of its characters the pattern can't match.
 GUARD = {"email": "@", "phone": "+", "mail": "(["}
 CONTEXT = 32
+#: No pattern of ``GENERATORS`` matches less than this many characters.
+LEAST_MATCH = 6
 #: Feature: where it is looked for, and a pattern that Java and Python read alike.
 FEATURES = {
     "key_word": ("before", r"(?i)(token|secret|passw|api.?key|access.?key|credential|auth)[^a-z]*$"),
@@ -51,6 +54,25 @@ FEATURES = {
     "grouped": ("m", r"[0-9][ .)-]+[0-9]+[ .-][0-9]"),
     "at_sign": ("m", r"[\[(](at|AT)[\])]"),
 }
+#: Spans that the generators propose in documents, labelled by hand (text before, span, label). They are fitted and calibrated
+#: along with the generated ones, each counting ``HAND_WEIGHT`` times.
+LABELLED = (
+    ('nin onwh and stwh token = "', "84f85083df6ea7c09829aa66c61b0f3fa2c57123", 1),
+    ('%%% \u00f1$$$ los&&& token = "', "3fdf5a35c7b8d733c0b5c7d364eda8ac88d929d1", 1),
+    ("aux \u00e8ch oument\u00e8 r\u00e9pavi anvi la. ", "4214578889459805", 1),
+    ("eredstly it thingintion thnding ", "4283063954042639", 1),
+    ("le qui. La\u00e8an\u00eaaux oueuxier pour ", "2852466340876421", 1),
+    ("des onev\u00e9ngeler de rest on. ", "(768) 555-9731", 1),
+    ("schsch&&& ber&&& die&&& ein\u00fc*** ", "daseinheitkeitau", 0),
+    (" ntnd thsh. Rest stwh he tirein ", "anndeaanheonesti", 0),
+    ("la mente\u00ed una menteco ie osares ", "esmenteezesmiosja", 0),
+    ("Tion was ", "Thanonontioniner", 0),
+    ('e, token = "d4e71e33b54f40bc277a', "32011430", 0),
+    ('eau\u00f3n aier aian token = "34cf1be', "9225426587", 0),
+    ("", "ACHLICHKEITEINUNG", 0),
+    ("der das des ergeer enungbe\u00fc das ", "sichschvertzlich", 0),
+)
+HAND_WEIGHT = 20
 TRAIN_SPANS = 4000
 ROUNDS, RATE = 40, 0.4
 PRECISION = 0.95
@@ -147,8 +169,10 @@ def margin_of(model: tuple[float, list[Tree]], x: tuple[bool, ...]) -> float:
 
 @lru_cache(maxsize=1)
 def fitted() -> tuple[tuple[float, list[Tree]], float]:
-    """The trees, fitted on four fifths of the generated spans, and the least margin whose precision on the rest is ``PRECISION``."""
-    rows = [(features_of(b, m), y) for b, m, y in training_spans()]
+    """The trees, fitted on four fifths of the spans, and the least margin whose precision on the rest is ``PRECISION``."""
+    spans = training_spans() + [x for x in LABELLED for _ in range(HAND_WEIGHT)]
+    random.Random(3).shuffle(spans)
+    rows = [(features_of(b, m), y) for b, m, y in spans]
     cut = len(rows) * 4 // 5
     cells: dict[tuple[bool, ...], tuple[float, float]] = {}
     for x, y in rows[:cut]:
@@ -168,28 +192,92 @@ def fitted() -> tuple[tuple[float, list[Tree]], float]:
     return model, threshold - 1e-6
 
 
-def found_spans(text: Column, pattern: str, guard: str | None) -> Column:
-    """All leftmost non-overlapping matches: array of ``start, stop, m, before`` (code points, stop exclusive; 32 characters before)."""
-    kind = "array<struct<start:int,stop:int,m:string,before:string>>"
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: a one-element transform names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, zero: Column, op: Callable[[Column, Column], Column], block: int = 128) -> Column:
+    """Inclusive prefix fold of an array, block by block: ``n * (block + n / block**2)`` steps where an array grown by one is ``n**2``."""
+
+    def fold(xs: Column) -> Column:
+        return F.aggregate(xs, zero, op)
+
+    def spread(blocks: Column) -> Column:
+        def add(heads: Column) -> Column:
+            before = F.transform(heads, lambda _, i: fold(F.slice(heads, F.lit(1), i)))
+            inner = lambda xs, base: F.transform(xs, lambda _, i: op(base, fold(F.slice(xs, F.lit(1), i + 1))))
+            return F.flatten(F.zip_with(blocks, before, inner))
+
+        return let(F.transform(blocks, fold), add)
+
+    def go(xs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), ((F.size(xs) - 1) / block).cast("int")), lambda k: F.slice(xs, k * block + 1, F.lit(block)))
+        return F.when(F.size(xs) == 0, F.slice(xs, F.lit(1), F.lit(0))).otherwise(let(blocks, spread))
+
+    return let(values, go)
+
+
+def found_spans(text: Column, pattern: str, guard: str | None, context: bool = False) -> Column:
+    """All leftmost non-overlapping matches: array of ``start, stop, m`` (code points, stop exclusive) and, if asked for, ``before``, the
+    ``CONTEXT`` characters in front of the match, whatever other matches they hold."""
+    kind = "array<struct<start:int,stop:int,m:string" + (",before:string>>" if context else ">>")
     matches = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(0))
     if guard:
         matches = F.when(reduce(lambda p, q: p | q, [F.contains(text, F.lit(c)) for c in guard]), matches).otherwise(F.array().cast("array<string>"))
 
     def place(ms: Column) -> Column:
-        between = F.split(text, pattern, -1)
+        def with_gaps(gaps: Column) -> Column:
+            stops = running(F.transform(ms, lambda m, i: F.length(F.get(gaps, i)) + F.length(m)), F.lit(0), lambda x, y: x + y)
+            if not context:
+                return let(stops, lambda at: F.transform(ms, lambda m, i: F.struct((F.get(at, i) - F.length(m)).alias("start"), F.get(at, i).alias("stop"), m.alias("m"))))
+
+            def with_pieces(x: Column) -> Column:
+                # No candidate is shorter than ``LEAST_MATCH``, so this many gaps and matches always span the context.
+                back = -(-CONTEXT // LEAST_MATCH)
+
+                def span(m: Column, i: Column) -> Column:
+                    near = F.array_join(F.slice(x["pieces"], F.greatest(i - back + 1, F.lit(1)), F.least(i, F.lit(back))), "")
+                    stop = F.get(x["at"], i)
+                    return F.struct((stop - F.length(m)).alias("start"), stop.alias("stop"), m.alias("m"), F.right(F.concat(near, F.get(gaps, i)), F.lit(CONTEXT)).alias("before"))
+
+                return F.transform(ms, span)
 
-        def step(acc: Column, i: Column) -> Column:
-            gap, m = F.element_at(acc["parts"], i), F.element_at(ms, i)
-            start = acc["at"] + F.length(gap)
-            span = F.struct(start.alias("start"), (start + F.length(m)).alias("stop"), m.alias("m"), F.right(gap, F.lit(CONTEXT)).alias("before"))
-            return F.struct((start + F.length(m)).alias("at"), acc["parts"].alias("parts"), F.concat(acc["out"], F.array(span)).alias("out"))
+            return let(F.struct(stops.alias("at"), F.transform(ms, lambda m, i: F.concat(F.get(gaps, i), m)).alias("pieces")), with_pieces)
 
-        begin = F.struct(F.lit(0).alias("at"), between.alias("parts"), F.array().cast(kind).alias("out"))
-        return F.aggregate(F.sequence(F.lit(1), F.size(ms)), begin, step, lambda acc: acc["out"])
+        return let(F.split(text, pattern, -1), with_gaps)
 
-    # A one-element transform names the matches, so that they are found once.
-    placed = F.transform(F.array(matches), lambda ms: F.when(F.size(ms) == 0, F.array().cast(kind)).otherwise(place(ms)))
-    return F.element_at(placed, 1)
+    return let(matches, lambda ms: F.when(F.size(ms) == 0, F.array().cast(kind)).otherwise(place(ms)))
+
+
+def swept(spans: Column) -> Column:
+    """``spans``: structs of ``start, rank, stop, kind, fixed, margin``. Fixed ones stay. The others are taken by falling margin (then longer,
+    earlier, lower rank) unless they overlap what is fixed or taken already. Returns ``start, rank, stop, kind``, by start and rank.
+
+    Spans are sorted by start once and cut where none reaches over, so a span only meets the run that it overlaps.
+    """
+    kind = "array<struct<start:int,rank:int,stop:int,kind:string>>"
+    bare = lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["stop"].alias("stop"), s["kind"].alias("kind"))
+
+    def greedy(run: Column) -> Column:
+        order = F.array_sort(F.transform(run, lambda s: F.struct((~s["fixed"]).alias("a"), (-s["margin"]).alias("b"), (s["start"] - s["stop"]).alias("c"), s["start"].alias("d"), s["rank"].alias("e"), s["stop"].alias("f"), s.alias("s"))))
+        # Fixed spans are in front, and stay though they overlap each other.
+        take = lambda acc, o: F.when(o["s"]["fixed"] | ~F.exists(acc, lambda t: (o["s"]["start"] < t["stop"]) & (t["start"] < o["s"]["stop"])), F.concat(acc, F.array(bare(o["s"])))).otherwise(acc)
+        return F.aggregate(order, F.array().cast(kind), take)
+
+    def cut(run: Column) -> Column:
+        def with_reach(reach: Column) -> Column:
+            heads = F.filter(F.sequence(F.lit(0), F.size(run) - 1), lambda i: (i == 0) | (F.get(run, i)["start"] >= F.get(reach, i - 1)))
+
+            def with_heads(hs: Column) -> Column:
+                part = lambda h, k: F.slice(run, h + 1, F.coalesce(F.get(hs, k + 1), F.size(run)) - h)
+                return F.flatten(F.transform(F.transform(hs, part), lambda r: F.when(F.size(r) == 1, F.transform(r, bare)).otherwise(greedy(r))))
+
+            return let(heads, with_heads)
+
+        return let(running(F.transform(run, lambda s: s["stop"]), F.lit(0), lambda x, y: F.greatest(x, y)), with_reach)
+
+    return F.when(F.size(spans) == 0, F.array().cast(kind)).otherwise(F.array_sort(let(F.array_sort(spans), cut)))
 
 
 def _luhn(digits: Column) -> Column:
@@ -216,18 +304,21 @@ def _valid(kind: str, m: Column) -> Column:
 
 def _margin(span: Column) -> Column:
     model, _ = fitted()
-    x = [F.regexp(span[where], F.lit(p)) for where, p in FEATURES.values()]
-
-    def tree(t: Tree) -> Column:
-        i, j, k, (a, b, c, d) = t
-        return F.when(x[i], F.when(x[k], F.lit(d)).otherwise(F.lit(c))).otherwise(F.when(x[j], F.lit(b)).otherwise(F.lit(a)))
-
     # Trees on the same features add up to one.
     merged: dict[tuple[int, int, int], list[float]] = {}
     for i, j, k, leaves in model[1]:
         now = merged.setdefault((i, j, k), [0.0] * 4)
         merged[i, j, k] = [p + q for p, q in zip(now, leaves, strict=True)]
-    return reduce(lambda p, q: p + q, [tree((*key, tuple(leaves))) for key, leaves in merged.items()], F.lit(model[0]))
+
+    def total(x: Column) -> Column:
+        def tree(i: int, j: int, k: int, leaves: list[float]) -> Column:
+            a, b, c, d = leaves
+            return F.when(x[i], F.when(x[k], F.lit(d)).otherwise(F.lit(c))).otherwise(F.when(x[j], F.lit(b)).otherwise(F.lit(a)))
+
+        return reduce(lambda p, q: p + q, [tree(*key, leaves) for key, leaves in merged.items()], F.lit(model[0]))
+
+    # Each feature is matched once, however many trees test it.
+    return let(F.array(*[F.regexp(span[where], F.lit(p)) for where, p in FEATURES.values()]), total)
 
 
 def _joined(spans: Column) -> Column:
@@ -235,44 +326,45 @@ def _joined(spans: Column) -> Column:
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans``.
+    """One row per input row: ``id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans``.
 
-    ``spans`` lists ``kind:start:end`` by start, then kind (base kinds first); base spans always stay. A candidate is taken if its
-    margin meets the threshold, it overlaps no base span, and no candidate that overlaps it is better (higher margin, then longer, then
-    earlier start, then kind). Null and empty texts have no spans. Repeated rows give equal rows. Extra columns are ignored; an
-    empty table gives no rows.
+    ``spans`` lists ``kind:start:end`` by start, then kind (base kinds first); base spans always stay. Candidates whose margin meets
+    the threshold are taken by falling margin (then longer, earlier, then kind) unless they overlap a base span or one that is taken.
+    Null and empty texts have no spans. Repeated rows give equal rows. Extra columns are ignored; an empty table gives no rows.
     """
     kinds = [*BASE, *GENERATORS]
     text = F.col("_text")
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
-
-    def ranked(kind: str, spans: Column) -> Column:
-        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(kinds.index(kind)).alias("rank"), s["stop"].alias("stop"), F.lit(kind).alias("kind")))
-
-    def checked(kind: str, spans: Column) -> Column:
-        return F.filter(spans, lambda s: _valid(kind, s["m"]))
-
-    base = [checked(k, found_spans(text, p, GUARD.get(k))).alias(f"_{k}") for k, p in BASE.items()]
     _, threshold = fitted()
 
-    def scored(kind: str, spans: Column) -> Column:
-        each = F.transform(
-            spans,
-            lambda s: F.struct(_margin(s).alias("margin"), (s["stop"] - s["start"]).alias("size"), (-s["start"]).alias("early"), F.lit(-kinds.index(kind)).alias("low"), s["start"].alias("start"), s["stop"].alias("stop"), F.lit(kind).alias("kind")),
+    def ranked(kind: str, s: Column, margin: Column) -> Column:
+        return F.struct(
+            s["start"].alias("start"), F.lit(kinds.index(kind)).alias("rank"), s["stop"].alias("stop"), F.lit(kind).alias("kind"), F.lit(kind in BASE).alias("fixed"), margin.alias("margin")
         )
-        return F.filter(each, lambda s: s["margin"] >= threshold)
-
-    proposed = F.concat(*[scored(k, found_spans(text, p, GUARD.get(k))) for k, p in GENERATORS.items()]).alias("_own")
-    rows = rows.select("_id", *base, proposed)
-    every = F.array_sort(F.concat(*[ranked(k, F.col(f"_{k}")) for k in BASE]))
-    rows = rows.select("_id", *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in BASE], every.alias("_base"), "_own")
-    meets = lambda a, b: (a["start"] < b["stop"]) & (b["start"] < a["stop"])
-    clear = F.filter("_own", lambda s: ~F.exists("_base", lambda b: meets(s, b)))
-    rows = rows.withColumn("_own", F.when(F.size("_own") == 0, F.col("_own")).otherwise(clear))
-    best = F.filter("_own", lambda s: ~F.exists("_own", lambda o: meets(s, o) & (o > s)))
-    own = F.transform(best, lambda s: F.struct(s["start"].alias("start"), (-s["low"]).alias("rank"), s["stop"].alias("stop"), s["kind"].alias("kind")))
-    rows = rows.withColumn("_all", F.when(F.size("_own") == 0, F.col("_base")).otherwise(F.array_sort(F.concat("_base", own))))
-    return rows.select(F.col("_id").alias(id_col), *[f"n_{k}" for k in BASE], F.sha2(_joined(F.col("_base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("_all")).alias("spans"))
+
+    def proposed(kind: str) -> Column:
+        spans = found_spans(text, GENERATORS[kind], GUARD.get(kind), True)
+        return F.filter(F.transform(spans, lambda s: ranked(kind, s, _margin(s))), lambda s: s["margin"] >= threshold)
+
+
+    def checked(kind: str) -> Column:
+        return F.filter(found_spans(text, BASE[kind], GUARD.get(kind)), lambda s: _valid(kind, s["m"]))
+
+    def as_fixed(kind: str) -> Column:
+        return F.transform(f"_{kind}", lambda s: ranked(kind, s, F.lit(0.0)))
+
+    base = [checked(k).alias(f"_{k}") for k in BASE]
+    rows = rows.select("_id", *base, F.concat(*[proposed(k) for k in GENERATORS]).alias("_own"))
+    fixed = F.concat(*map(as_fixed, BASE))
+    rows = rows.select("_id", *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in BASE], fixed.alias("_base"), "_own")
+    rows = rows.withColumn("_all", F.when(F.size("_own") == 0, F.array_sort("_base")).otherwise(F.transform(swept(F.concat("_base", "_own")), lambda s: F.struct(*[s[c].alias(c) for c in ("start", "rank", "stop", "kind")], F.lit(False).alias("fixed"), F.lit(0.0).alias("margin")))))
+    return rows.select(
+        F.col("_id").alias(id_col),
+        *[f"n_{k}" for k in BASE],
+        F.sha2(_joined(F.array_sort("_base")).cast("binary"), 256).alias("base_sha256"),
+        _joined(F.col("_all")).alias("spans"),
+        F.size("_all").cast("long").alias("n_spans"),
+    )
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

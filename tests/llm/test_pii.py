@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import documents
-from marlstone.llm.pii import FEATURES, boost, features_of, find_pii, fitted, margin_of, redact, training_spans
+from marlstone.llm.pii import FEATURES, GENERATORS, boost, features_of, find_pii, fitted, found_spans, margin_of, redact, swept, training_spans
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
 IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
@@ -92,3 +92,43 @@ def test_mail_in_square_brackets_alone(docs):
     rows = [(1, "jane [at] example [dot] com", "s"), (2, "jane (at) example (dot) com", "s"), (3, "jane [at] example.com", "s"), (4, "jane at example dot com", "s")]
     out = {r.doc_id: r.spans for r in find_pii(docs(rows)).collect()}
     assert out == {1: "mail:0:27", 2: "mail:0:27", 3: "mail:0:21", 4: ""}
+
+
+def test_recall_and_precision_on_documents(spark):
+    """What is private in these documents beside the base kinds, as a reader marks it: quoted tokens, and long numbers that stand alone."""
+    private = re.compile(r"(?<=token = \")[0-9a-f]{40}(?=\")|(?<![0-9A-Za-z.+-])[0-9]{14,19}(?![0-9A-Za-z]|[ .-][0-9])")
+    caught = wanted = added = right = 0
+    d = documents(spark, "/root/testdata/sf0.1")
+    texts = {r.doc_id: r.text or "" for r in d.select("doc_id", "text").collect()}
+    for r in find_pii(d).collect():
+        text = texts[r.doc_id]
+        gold = {m.span() for m in private.finditer(text)}
+        found = {(int(s), int(e)): k for k, s, e in (x.split(":") for x in r.spans.split(",") if x)}
+        own = {s for s, k in found.items() if k not in ("email", "ip", "card", "phone")}
+        wanted, caught = wanted + len(gold), caught + len(gold & set(found))
+        added, right = added + len(own), right + len(own & gold)
+    assert wanted > 100 and caught >= 0.9 * wanted, (caught, wanted)
+    assert right >= 0.9 * added, (right, added)
+
+
+def test_context_does_not_depend_on_other_matches(spark):
+    """The same span has the same 32 characters before it, whether or not they hold matches of its own kind."""
+    text = "ab 12345678 cd 87654321 account 11112222 x 99998888"
+    got = spark.createDataFrame([(text,)], "t string").select(F.inline(found_spans(F.col("t"), GENERATORS["account"], None, True))).collect()
+    assert [(r.start, r.stop, r.m, r.before) for r in got] == [(m.start(), m.end(), m[0], text[max(0, m.start() - 32) : m.start()]) for m in re.finditer("[0-9]{8}", text)]
+
+
+def test_chains_are_taken_greedily(spark):
+    """A-B-C overlap in a chain with rising margins: C is taken, B falls, and A, which nothing taken covers, stays."""
+    row = "named_struct('start', {}, 'rank', {}, 'stop', {}, 'kind', '{}', 'fixed', {}, 'margin', {})"
+    rows = [(0, 5, 10, "a", "false", "1D"), (8, 6, 20, "b", "false", "2D"), (18, 7, 30, "c", "false", "3D"), (40, 0, 50, "x", "true", "0D"), (45, 1, 60, "y", "true", "0D"), (58, 5, 70, "d", "false", "9D")]
+    got = spark.sql("SELECT array(" + ",".join(row.format(*r) for r in rows) + ") AS s").select(F.inline(swept(F.col("s")))).collect()
+    assert [r.kind for r in got] == ["a", "c", "x", "y"]
+
+
+def test_many_candidates_in_one_text(docs):
+    """Sixteen thousand candidates in one text, each kept or dropped as it would be alone."""
+    text = "x 12345678901234567 " * 16_000
+    rows = [(1, text, "s"), (2, "x 12345678901234567 ", "s"), (None, "a@b.co", "s")]
+    out = {r.doc_id: r for r in find_pii(docs(rows)).collect()}
+    assert out[1].n_spans == 16_000 * out[2].n_spans and out[2].n_spans == 1 and out[None].n_email == 1
