@@ -13,7 +13,8 @@ import re
 import threading
 import zlib
 from collections import deque
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -59,34 +60,44 @@ class WordTokenizer:
         self.full = Tokenizer.from_file(path)
         self.model = self.full.model
         self.kind = id_kind(self.full.get_vocab_size())
-        self.cache: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.cache, self.pieces = _Memory(self.word), _Memory(self.piece)
         self.cache_words = cache_words
         split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes = {c: split.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+        self.size = np.dtype(self.kind).itemsize
+
+    def packed(self, ids: list[int]) -> bytes:
+        return b"".join([i.to_bytes(self.size, "little") for i in ids])
 
     def piece(self, text: str) -> bytes:
-        found = self.pieces.get(text)
-        if found is None:
-            ids = [t.id for t in self.model.tokenize(text.translate(self.bytes))]
-            found = self.pieces[text] = np.array(ids, dtype=self.kind).tobytes()
-        return found
+        return self.packed([t.id for t in self.model.tokenize(text if text.isascii() else text.translate(self.bytes))])
 
     def word(self, word: bytes) -> bytes:
         text = word.decode("utf-8")
         if m := self.plain.fullmatch(text):
-            return self.piece(m[1].lower()) + (self.piece(m[2]) if m[2] else b"")
-        return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+            head, tail = m.groups()
+            return self.pieces[head.lower()] + self.pieces[tail] if tail else self.pieces[head.lower()]
+        return self.packed(self.full.encode(text, add_special_tokens=False).ids)
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned ids of the whole text, ``kind`` each."""
-        words, cache = text.encode("utf-8", "replace").split(), self.cache
-        if len(cache) + len(self.pieces) > self.cache_words:
-            cache.clear()
+        if len(self.cache) + len(self.pieces) > self.cache_words:
+            self.cache.clear()
             self.pieces.clear()
-        for w in set(words).difference(cache):
-            cache[w] = self.word(w)
-        return b"".join(map(cache.__getitem__, words))
+        # One pass: a word that isn't remembered yet is looked up on the way.
+        return b"".join(map(self.cache.__getitem__, text.encode("utf-8", "replace").split()))
+
+
+class _Memory(dict):
+    """Remembers what ``made`` gives for each key."""
+
+    def __init__(self, made: Callable[[Any], bytes]) -> None:
+        super().__init__()
+        self.made = made
+
+    def __missing__(self, key: Any) -> bytes:
+        value = self[key] = self.made(key)
+        return value
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
