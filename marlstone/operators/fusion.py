@@ -28,12 +28,13 @@ def rrf(hits: DataFrame, weights: dict[str, float] | None = None, k: int = K) ->
 
 
 def graph_boost(fused: DataFrame, graph_hits: DataFrame, weight: float = WEIGHTS["graph"]) -> DataFrame:
-    """Fused rows that the graph found too gain ``weight * max(best fused score, .1)``; graph-only rows join at their score times that best."""
+    """Fused rows that the graph found too gain ``weight * max(best fused score, .1)``; graph-only rows join at their score times the best, or half
+    their score where nothing fused."""
     best = Window.partitionBy("query_id")
     g = graph_hits.select("query_id", "chunk_id", F.col("score").alias("_g"))
     both = fused.join(g, ["query_id", "chunk_id"], "full_outer").withColumn("_max", F.coalesce(F.max("score").over(best), F.lit(0.0)))
     boosted = F.col("score") + F.when(F.col("_g").isNotNull(), weight * F.greatest("_max", F.lit(0.1))).otherwise(0.0)
-    return both.select("query_id", "chunk_id", F.coalesce(boosted, F.col("_g") * F.col("_max")).alias("score"))
+    return both.select("query_id", "chunk_id", F.coalesce(boosted, F.col("_g") * F.when(F.col("_max") > 0, F.col("_max")).otherwise(0.5)).alias("score"))
 
 
 def final_cut(hits: DataFrame, k: int) -> DataFrame:

@@ -8,11 +8,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.scratch import materialize
+
+# What an edge is worth, by its relationship.
 PRIORS = {
-    "gloss": 0.9, "exposes": 0.85, "calls": 0.8, "tested_by": 0.8, "inherits": 0.65, "imports": 0.5, "contains": 0.4,
-    "depends_on": 0.35, "shared_import": 0.3, "shared_entity": 0.3, "references": 0.25,
-}
-OTHER, DECAY = 0.2, 0.85
+    "gloss": 0.9,
+    "exposes": 0.85,
+    "calls": 0.8,
+    "tested_by": 0.8,
+    "inherits": 0.65,
+    "contains": 0.4,
+    "references": 0.25,
+    "imports": 0.5,
+    "shared_import": 0.3,
+    "shared_entity": 0.3,
+    "depends_on": 0.35,
+}
+OTHER, DECAY, TESTED_BACK, CONTAINS_OUT = 0.2, 0.85, 0.35, 0.55
 
 
 def last_wins(edges: DataFrame) -> DataFrame:
@@ -54,56 +66,75 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return seen.where("hops > 0")
 
 
-def shortest_path(edges: DataFrame, pairs: DataFrame, depth: int = 6) -> DataFrame:
-    """``start, goal, hops, path`` (``>``-joined) for pairs that are at most ``depth`` out-edges apart; of equal paths the least."""
+def shortest_path(edges: DataFrame, pairs: DataFrame, depth: int | None = None) -> DataFrame:
+    """``start, goal, hops, path`` (``>``-joined) for pairs that out-edges connect; of equal paths the least. ``depth``: most hops, if given.
+
+    A hop is one join of the frontier, written out so that plans stay short; the search ends when no pair moves on.
+    """
     step = edges.select(F.col("src").alias("at"), F.col("dst").alias("next")).distinct()
-    front = pairs.select("start", "goal", F.col("start").alias("at"), F.col("start").cast("string").alias("path"))
-    seen, found = front.select("start", "goal", "at"), front.where("at = goal").withColumn("hops", F.lit(0))
-    for hop in range(1, depth + 1):
-        moved = front.where("at <> goal").join(step, "at").select("start", "goal", F.col("next").alias("at"), F.concat_ws(">", "path", F.col("next").cast("string")).alias("path"))
-        moved = moved.join(seen, ["start", "goal", "at"], "left_anti")
-        front = moved.groupBy("start", "goal", "at").agg(F.min("path").alias("path"))
-        seen = seen.unionByName(front.select("start", "goal", "at"))
-        found = found.unionByName(front.where("at = goal").withColumn("hops", F.lit(hop)))
-    return found.groupBy("start", "goal").agg(F.min(F.struct("hops", "path")).alias("_b")).select("start", "goal", "_b.hops", "_b.path")
+    front = materialize(pairs.select("start", "goal", F.col("start").alias("at"), F.col("start").cast("string").alias("path"), F.lit(0).alias("hops")), "front")
+    seen, found = front, front.where("at = goal")
+    hop = 0
+    while (depth is None or hop < depth) and not front.isEmpty():
+        hop += 1
+        open_pairs = front.join(found.select("start", "goal"), ["start", "goal"], "left_anti")
+        moved = open_pairs.join(step, "at").select("start", "goal", F.col("next").alias("at"), F.concat_ws(">", "path", F.col("next").cast("string")).alias("path"))
+        moved = moved.join(seen.select("start", "goal", "at"), ["start", "goal", "at"], "left_anti")
+        front = materialize(moved.groupBy("start", "goal", "at").agg(F.min("path").alias("path")).withColumn("hops", F.lit(hop)), "front")
+        seen = seen.unionByName(front)
+        found = found.unionByName(front.where("at = goal"))
+    return found.select("start", "goal", "hops", "path")
 
 
 def beam_hop(rows: list[dict], width: int, most: int, added: int) -> list[dict]:
-    """Accepts candidates by falling score: up to ``max(2, width // 3)`` of a relationship, ``width`` in all, ``most`` over all hops."""
+    """Accepts candidates by falling score (then id, then relationship): up to ``max(2, width // 3)`` of a relationship, ``width`` in all, ``most``
+    over all hops. A node turned away for one relationship may still come in by another."""
     per: dict[str, int] = {}
     out, seen = [], set()
-    for r in sorted(rows, key=lambda r: (-r["score"], r["other"])):
-        if r["other"] in seen:
-            continue
-        if per.get(r["relationship"], 0) >= max(2, width // 3) or len(out) >= width or added + len(out) >= most:
-            continue
-        per[r["relationship"]] = per.get(r["relationship"], 0) + 1
-        seen.add(r["other"])
-        out.append(r)
+    for r in sorted(rows, key=lambda r: (-r["score"], r["other"], r["relationship"])):
+        if r["other"] not in seen and per.get(r["relationship"], 0) < max(2, width // 3) and len(out) < width and added + len(out) < most:
+            per[r["relationship"]] = per.get(r["relationship"], 0) + 1
+            seen.add(r["other"])
+            out.append(r)
     return out
 
 
-def expand_beam(edges: DataFrame, seeds: DataFrame, width: int = 6, depth: int = 2, most: int = 24) -> DataFrame:
+def expand_beam(edges: DataFrame, seeds: DataFrame, width: int = 6, depth: int = 2, most: int = 6, nodes: DataFrame | None = None) -> DataFrame:
     """``seeds``: ``query_id, entity_id, score``. Returns ``query_id, entity_id, score, hop`` of the accepted nodes.
 
-    A candidate's score is its edge's prior times its origin's score times ``DECAY ** hop``; incoming ``tested_by`` counts .35 at most,
-    outgoing ``contains`` .55 at least. Each hop is one join, then a fold over the query's candidates.
+    A candidate's score is its edge's prior times its origin's score times ``DECAY`` for each hop before; incoming ``tested_by`` counts
+    ``TESTED_BACK`` at most unless a seed of the query is a test, outgoing ``contains`` ``CONTAINS_OUT`` at least. ``nodes`` (``entity_id, type,
+    file_path``) tells files, which are passed over unless a seed is one, and tests. Each hop is one join; of a query's candidates only the
+    first ``width + max(2, width // 3)`` of a relationship can be accepted, so no more reach the fold, however large a hub is.
     """
     prior = reduce(lambda acc, kv: acc.when(F.col("relationship") == kv[0], kv[1]), PRIORS.items(), F.when(F.lit(False), 0.0)).otherwise(OTHER)
-    weight = F.when(F.col("incoming") & (F.col("relationship") == "tested_by"), F.least(prior, F.lit(0.35))).when(
-        ~F.col("incoming") & (F.col("relationship") == "contains"), F.greatest(prior, F.lit(0.55))
-    ).otherwise(prior)
-    sides = incident(edges).withColumn("weight", weight)
-    frontier = seeds.select("query_id", F.col("entity_id").alias("node"), "score")
+    back, out_of = F.col("incoming") & (F.col("relationship") == "tested_by"), ~F.col("incoming") & (F.col("relationship") == "contains")
+    weight = F.when(back & ~F.col("from_test"), F.least(prior, F.lit(TESTED_BACK))).when(out_of, F.greatest(prior, F.lit(CONTAINS_OUT))).otherwise(prior)
+    sides = incident(edges)
+    start = seeds.select("query_id", F.col("entity_id").alias("node"), "score")
+    if nodes is None:
+        traits = seeds.select("query_id").distinct().select("query_id", F.lit(True).alias("from_file"), F.lit(False).alias("from_test"))
+    else:
+        known = nodes.select(F.col("entity_id").alias("node"), (F.col("type") == "file").alias("_file"), F.regexp_replace(F.coalesce("file_path", F.lit("")), r"\\", "/").alias("_p"))
+        test = F.contains("_p", F.lit("/test")) | F.startswith("_p", F.lit("tests/"))
+        start = start.join(known, "node")
+        traits = start.groupBy("query_id").agg(F.max("_file").alias("from_file"), F.max(test).alias("from_test"))
+        start = start.select("query_id", "node", "score")
+        sides = sides.join(known.select(F.col("node").alias("other"), F.col("_file").alias("to_file")), "other")
+    frontier = start
     seen = frontier.select("query_id", F.col("node").alias("other"))
-    counts = seeds.select("query_id").distinct().withColumn("added", F.lit(0).cast("long"))
+    counts = traits.withColumn("added", F.lit(0).cast("long"))
     kinds = {f.name: f.dataType.simpleString() for f in frontier.schema}
     schema = f"query_id {kinds['query_id']}, other {kinds['node']}, relationship string, score double"
-    out = None
-    for hop in range(1, depth + 1):
-        moved = frontier.join(sides, "node").withColumn("score", F.round(F.col("weight") * F.col("score") * DECAY**hop, 9))
-        best = moved.groupBy("query_id", "other").agg(F.max(F.struct("score", "relationship")).alias("_b")).select("query_id", "other", "_b.*")
-        new = best.join(seen, ["query_id", "other"], "left_anti").join(counts, "query_id")
+    first = Window.partitionBy("query_id", "relationship").orderBy(F.col("score").desc(), "other")
+    found = None
+    for hop in range(depth):
+        moved = frontier.join(sides, "node").join(counts, "query_id")
+        if nodes is not None:
+            moved = moved.where("from_file or not to_file")
+        scored = moved.withColumn("score", F.round(weight * F.col("score") * DECAY**hop, 9))
+        each = scored.groupBy("query_id", "other", "relationship").agg(F.max("score").alias("score"), F.first("added").alias("added"))
+        new = each.join(seen, ["query_id", "other"], "left_anti").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= width + max(2, width // 3)).drop("_n")
 
         def accept(group: pd.DataFrame) -> pd.DataFrame:
             rows = beam_hop(group.to_dict("records"), width, most, int(group["added"].iloc[0]))
@@ -112,11 +143,11 @@ def expand_beam(edges: DataFrame, seeds: DataFrame, width: int = 6, depth: int =
         taken = new.groupBy("query_id").applyInPandas(accept, schema)
         seen = seen.unionByName(taken.select("query_id", "other"))
         more = taken.groupBy("query_id").agg(F.count("*").alias("_m"))
-        counts = counts.join(more, "query_id", "left").select("query_id", (F.col("added") + F.coalesce("_m", F.lit(0))).alias("added"))
+        counts = counts.join(more, "query_id", "left").select("query_id", "from_file", "from_test", (F.col("added") + F.coalesce("_m", F.lit(0))).alias("added"))
         frontier = taken.select("query_id", F.col("other").alias("node"), "score")
-        found = taken.select("query_id", F.col("other").alias("entity_id"), "score", F.lit(hop).alias("hop"))
-        out = found if out is None else out.unionByName(found)
-    return out
+        step = taken.select("query_id", F.col("other").alias("entity_id"), "score", F.lit(hop + 1).alias("hop"))
+        found = step if found is None else found.unionByName(step)
+    return found
 
 
 def entity_summary(edges: DataFrame, most: int = 10) -> DataFrame:

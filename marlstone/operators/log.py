@@ -15,11 +15,11 @@ INDEXED = ("user", "assistant", "tool_use", "tool_result", "system", "compact")
 
 
 def number_events(events: DataFrame) -> DataFrame:
-    """``id`` (``e`` and four digits) by ``seq`` within the session, and ``generation``: compactions up to the event."""
+    """``id`` (``e`` and four digits, more from 10,000 on) by ``seq`` within the session, and ``generation``: compactions up to the event."""
     order = Window.partitionBy("session_id").orderBy("seq")
     n = F.row_number().over(order)
     generation = F.sum((F.col("type") == "compact").cast("int")).over(order)
-    return events.withColumn("id", F.concat(F.lit("e"), F.lpad(n.cast("string"), 4, "0"))).withColumn("generation", generation)
+    return events.withColumn("id", F.concat(F.lit("e"), F.when(n < 10_000, F.lpad(n.cast("string"), 4, "0")).otherwise(n.cast("string")))).withColumn("generation", generation)
 
 
 def derive_messages(events: DataFrame) -> DataFrame:

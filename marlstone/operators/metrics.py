@@ -29,6 +29,15 @@ def ndcg_at_k(hits: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     return gains.select("query_id", F.least(F.coalesce("dcg", F.lit(0.0)) / ideal, F.lit(1.0)).alias("ndcg"))
 
 
+def recall_ndcg(relevant: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+    """``query_id, recall, ndcg`` where gold is known by its number alone (``sizes``: ``query_id, n``): ``relevant`` has the hits that are gold
+    (``query_id, item, rank``), so gold lists as long as a class never meet their queries."""
+    h = first_seen(relevant).where(F.col("rank") < k).groupBy("query_id").agg(F.count("*").alias("_m"), F.sum(1 / F.log2(F.col("rank") + 2)).alias("_dcg"))
+    ideal = F.aggregate(F.sequence(F.lit(0), F.least(F.col("n").cast("int"), F.lit(k)) - 1), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 2))
+    rows = sizes.where("n > 0").join(h, "query_id", "left")
+    return rows.select("query_id", (F.coalesce("_m", F.lit(0)) / F.col("n")).alias("recall"), F.least(F.coalesce("_dcg", F.lit(0.0)) / ideal, F.lit(1.0)).alias("ndcg"))
+
+
 def citation_rate(required: DataFrame, cited: DataFrame) -> DataFrame:
     """Share of each query's required paths that some cited path equals or ends in. Joined on the last segment, then matched."""
     last = lambda c: F.element_at(F.split(c, "/"), -1)

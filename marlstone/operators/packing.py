@@ -24,10 +24,11 @@ def dedupe_rows(rows: list[dict]) -> list[dict]:
 
 
 def likeness(a: dict, b: dict) -> float:
-    """.6 in one file; else .3 for one type and .1 for each shared part of the names, .95 at most."""
+    """.6 in one file; else .3 for one type and .1 for each shared part of the names (case ignored, split at ``_`` and ``-``), .95 at most."""
     if a["file_path"] == b["file_path"]:
         return 0.6
-    parts = len(set(a["entity_name"][:30].split("_")) & set(b["entity_name"][:30].split("_")) - {""})
+    pieces = lambda r: set(r["entity_name"].lower()[:30].replace("-", "_").split("_"))
+    parts = len(pieces(a) & pieces(b))
     return min(0.95, (0.3 if a["entity_type"] == b["entity_type"] else 0.0) + min(0.4, 0.1 * parts))
 
 

@@ -2,45 +2,81 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import normalize_path, path_matches
 
-REFERENCE = r"`?([A-Za-z0-9_./-]+\.[a-z]{1,5})(?::([A-Za-z_][A-Za-z0-9_.]*))?`?"
-CLAIM = r"`?([A-Za-z_][A-Za-z0-9_]*)`?\s+(calls|imports|inherits|contains|references)\s+`?([A-Za-z_][A-Za-z0-9_]*)`?"
+# What counts as a citation and as a claimed relation.
+SUFFIXES = ("py", "js", "ts", "tsx", "jsx", "go", "rs", "java", "rb", "md")
+REFERENCE = r"(?<![A-Za-z0-9_/])([A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)*\.(?:" + "|".join(SUFFIXES) + r"))(?::([A-Za-z_][A-Za-z0-9_.]*))?"
+NAME = r"`?([A-Za-z_][A-Za-z0-9_.]*)`?"
+RELATIONS = {"calls": r"calls", "inherits": r"inherits", "tested_by": r"(?:is\s+)?tested by"}
 
 
 def cited_references(answers: DataFrame) -> DataFrame:
-    """``answer_id, path, symbol`` (empty where none is named), each once."""
+    """``answer_id, path, symbol`` (empty where none is named), each once; paths are normalised."""
     found = F.arrays_zip(F.regexp_extract_all("text", F.lit(REFERENCE), F.lit(1)).alias("p"), F.regexp_extract_all("text", F.lit(REFERENCE), F.lit(2)).alias("s"))
-    return answers.select("answer_id", F.explode(found).alias("r")).select("answer_id", F.col("r.p").alias("path"), F.col("r.s").alias("symbol")).distinct()
+    rows = answers.select("answer_id", F.explode(found).alias("r"))
+    return rows.select("answer_id", normalize_path(F.col("r.p")).alias("path"), F.coalesce(F.col("r.s"), F.lit("")).alias("symbol")).distinct()
 
 
 def claimed_relations(answers: DataFrame) -> DataFrame:
-    parts = [F.regexp_extract_all("text", F.lit(CLAIM), F.lit(i)).alias(n) for i, n in ((1, "src"), (2, "rel"), (3, "dst"))]
-    return answers.select("answer_id", F.explode(F.arrays_zip(*parts)).alias("c")).select("answer_id", "c.*").distinct()
+    """``answer_id, src, rel, dst, raw``: each claim once, ``raw`` as it was said first."""
+
+    def said(rel: str, verb: str) -> Column:
+        pattern = F.lit(rf"(?i){NAME}\s+{verb}\s+{NAME}")
+        parts = F.arrays_zip(*[F.regexp_extract_all("text", pattern, F.lit(i)).alias(n) for i, n in ((1, "src"), (2, "dst"), (0, "raw"))])
+        return F.transform(parts, lambda c: F.struct(c["src"].alias("src"), F.lit(rel).alias("rel"), c["dst"].alias("dst"), F.trim(c["raw"]).alias("raw")))
+
+    claims = answers.select("answer_id", F.posexplode(F.concat(*[said(r, v) for r, v in RELATIONS.items()])).alias("_at", "_c")).select("answer_id", "_at", "_c.*")
+    return claims.groupBy("answer_id", "src", "rel", "dst").agg(F.min_by("raw", "_at").alias("raw"))
+
+
+def _key(name: Column) -> Column:
+    return F.lower(F.element_at(F.split(F.trim(name), r"\."), -1))
+
+
+def _last(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def resolve_names(wanted: DataFrame, records: DataFrame) -> DataFrame:
+    """``name, id``: records whose last name part equals that of ``name`` (case ignored); where there is none, those whose id ends in
+    ``:name`` or ``.name``."""
+    names = wanted.select("name").distinct()
+    direct = names.withColumn("_k", _key(F.col("name"))).join(records.select("id", _key(F.col("name")).alias("_k")).where("_k <> ''"), "_k").select("name", "id")
+    # Every end of an id that follows a colon or a stop, so that the match is an equi-join.
+    pieces = F.split("id", r"(?<=[:.])")
+    ends = F.transform(F.sequence(F.lit(2), F.size(pieces)), lambda i: F.array_join(F.slice(pieces, i, F.size(pieces)), ""))
+    tails = records.where(F.size(pieces) > 1).select("id", F.explode(ends).alias("name"))
+    return direct.unionByName(names.join(direct.select("name").distinct(), "name", "left_anti").join(tails, "name")).distinct()
 
 
 def validity_flags(answers: DataFrame, records: DataFrame, edges: DataFrame) -> DataFrame:
-    """``answer_id, kind, citation``: paths and symbols that no record has, and claimed relations between known names that no edge has."""
-    last = lambda c: F.element_at(F.split(c, "/"), -1)
-    refs = cited_references(answers).withColumn("need", normalize_path(F.col("path"))).withColumn("_l", last(F.col("need")))
-    have = records.select("name", normalize_path(F.col("file_path")).alias("have")).distinct().withColumn("_l", last(F.col("have")))
-    near = refs.join(have, "_l").where(path_matches(F.col("need"), F.col("have")))
+    """``answer_id, kind, citation``: citations that no record bears out (``missing_symbol`` where a symbol is named, else ``missing_path``) and
+    claimed relations between known names that no edge has (``contradicted_edge``).
+
+    ``records``: ``id, name, file_path``; ``edges``: ``src, rel, dst`` of ids. A record bears a citation out if one path ends in the other and
+    the symbol is its name, ends it, has its last part (case ignored) or ends its id.
+    """
+    refs = cited_references(answers).withColumn("_l", _last(F.col("path")))
+    have = records.select("id", F.trim("name").alias("name"), normalize_path(F.col("file_path")).alias("_have")).where("_have <> ''").distinct().withColumn("_l", _last(F.col("_have")))
+    symbol = F.col("symbol")
+    by_name = (F.col("name") == symbol) | F.endswith("name", F.concat(F.lit("."), symbol)) | (_key(F.col("name")) == _key(symbol))
+    by_id = F.endswith("id", F.concat(F.lit(":"), symbol)) | F.contains("id", F.concat(F.lit(":"), F.col("path"), F.lit(":"), symbol))
+    known = refs.join(have, "_l").where(path_matches(F.col("path"), F.col("_have")) & ((symbol == "") | F.coalesce(by_name, F.lit(False)) | F.coalesce(by_id, F.lit(False))))
     on = ["answer_id", "path", "symbol"]
-    no_path = refs.join(near.select(*on).distinct(), on, "left_anti")
-    named = near.where((F.col("symbol") == "") | (F.element_at(F.split("symbol", r"\."), -1) == F.col("name")) | (F.col("symbol") == F.col("name")))
-    no_symbol = refs.join(no_path.select(*on), on, "left_anti").join(named.select(*on).distinct(), on, "left_anti")
-    names = records.select(F.col("name")).distinct()
-    claims = claimed_relations(answers).join(names.withColumnRenamed("name", "src"), "src", "left_semi").join(names.withColumnRenamed("name", "dst"), "dst", "left_semi")
-    wrong = claims.join(edges.select("src", "rel", "dst").distinct(), ["src", "rel", "dst"], "left_anti")
-    rows = [
-        no_path.select("answer_id", F.lit("missing_path").alias("kind"), F.col("path").alias("citation")),
-        no_symbol.select("answer_id", F.lit("missing_symbol"), F.concat_ws(":", "path", "symbol")),
-        wrong.select("answer_id", F.lit("contradicted_edge"), F.concat_ws(" ", "src", "rel", "dst")),
-    ]
-    return rows[0].union(rows[1]).union(rows[2]).distinct()
+    lost = refs.join(known.select(*on).distinct(), on, "left_anti")
+    missing = lost.select("answer_id", F.when(symbol == "", "missing_path").otherwise("missing_symbol").alias("kind"), F.concat_ws(":", "path", F.nullif(symbol, F.lit(""))).alias("citation"))
+
+    claims = claimed_relations(answers)
+    ids = resolve_names(claims.select(F.col("src").alias("name")).unionByName(claims.select(F.col("dst").alias("name"))), records)
+    both = claims.join(ids.select(F.col("name").alias("src"), F.col("id").alias("_s")), "src").join(ids.select(F.col("name").alias("dst"), F.col("id").alias("_d")), "dst")
+    drawn = edges.select(F.col("src").alias("_s"), "rel", F.col("dst").alias("_d"), F.lit(1).alias("_e")).distinct()
+    checked = both.join(drawn, ["_s", "rel", "_d"], "left").groupBy("answer_id", "src", "rel", "dst").agg(F.max("_e").alias("_e"), F.first("raw").alias("raw"))
+    wrong = checked.where("_e is null").select("answer_id", F.lit("contradicted_edge").alias("kind"), F.col("raw").alias("citation"))
+    return missing.unionByName(wrong).distinct()
 
 
 def check_criteria(criteria: DataFrame, files: DataFrame, results: DataFrame) -> DataFrame:

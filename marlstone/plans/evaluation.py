@@ -11,6 +11,7 @@ from marlstone.functions.text import normalize_path
 from marlstone.operators import loop, metrics
 from marlstone.operators import vectors as dense
 from marlstone.plans.tables import table, vector_queries, vectors
+from marlstone.scratch import materialize
 
 K = 10
 
@@ -20,17 +21,29 @@ def _hits(spark: SparkSession, d: str, where: str | None = None) -> DataFrame:
     return found.select("query_id", F.col("chunk_id").alias("item"), F.col("rank"))
 
 
-def _gold(spark: SparkSession, d: str) -> DataFrame:
-    q = vector_queries(spark, d).select("query_id", "label")
-    return q.join(vectors(spark, d).select(F.col("chunk_id").alias("item"), "label"), "label").select("query_id", "item")
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows each query's label has: its gold."""
+    counts = vectors(spark, d).groupBy("label").agg(F.count("*").alias("n"))
+    return vector_queries(spark, d).select("query_id", "label").join(counts, "label").select("query_id", "n")
+
+
+def _relevant(spark: SparkSession, d: str, hits: DataFrame) -> DataFrame:
+    """The hits that have their query's label."""
+    q = vector_queries(spark, d).select("query_id", F.col("label").alias("_want"))
+    own = vectors(spark, d).select(F.col("chunk_id").alias("item"), "label")
+    return hits.join(own, "item").join(q, "query_id").where(F.col("label") == F.col("_want")).drop("label", "_want")
+
+
+def _scores(spark: SparkSession, d: str, where: str | None = None) -> DataFrame:
+    return metrics.recall_ndcg(_relevant(spark, d, _hits(spark, d, where)), _sizes(spark, d), K)
 
 
 def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.recall_at_k(_hits(spark, d), _gold(spark, d), K).select("query_id", F.round("recall", 6).alias("recall"))
+    return _scores(spark, d).select("query_id", F.round("recall", 6).alias("recall"))
 
 
 def ndcg_at_k(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.ndcg_at_k(_hits(spark, d), _gold(spark, d), K).select("query_id", F.round("ndcg", 6).alias("ndcg"))
+    return _scores(spark, d).select("query_id", F.round("ndcg", 6).alias("ndcg"))
 
 
 def _paths(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -59,12 +72,15 @@ def failure_labels(spark: SparkSession, d: str) -> DataFrame:
         all_hits.where("rank < 5").unionByName(some.where("rank < 5")).select("query_id", F.lit("fused").alias("stage"), "item"),
         all_hits.where("rank < 3").select("query_id", F.lit("final").alias("stage"), "item"),
     ]
-    return metrics.failure_labels(reduce(DataFrame.unionByName, stages), _gold(spark, d))
+    # Gold that no stage found tells nothing beyond what a query without any find does, so only found gold is listed.
+    rows = materialize(reduce(DataFrame.unionByName, stages), "stages")
+    found = _relevant(spark, d, rows.select("query_id", "item").distinct()).select("query_id", "item")
+    none = vector_queries(spark, d).select("query_id", F.lit(-1).cast("long").alias("item")).join(found.select("query_id").distinct(), "query_id", "left_anti")
+    return metrics.failure_labels(rows, found.unionByName(none))
 
 
 def _cases(spark: SparkSession, d: str, where: str | None = None) -> DataFrame:
-    h, g = _hits(spark, d, where), _gold(spark, d)
-    return metrics.recall_at_k(h, g, K).join(metrics.ndcg_at_k(h, g, K), "query_id").join(vector_queries(spark, d).select("query_id", "label"), "query_id")
+    return _scores(spark, d, where).join(vector_queries(spark, d).select("query_id", "label"), "query_id")
 
 
 def eval_by_category(spark: SparkSession, d: str) -> DataFrame:

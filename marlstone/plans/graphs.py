@@ -9,9 +9,6 @@ from marlstone.functions.text import tokenize
 from marlstone.operators import graph
 from marlstone.plans.tables import chunks, edges, edges_sql, table
 
-#: Walks start at every region, nation or supplier, so their frontiers stay of the size of these tables.
-SMALL = ("nation", "customer", "supplier")
-
 
 def graph_edges_dedupe_last(spark: SparkSession, d: str) -> DataFrame:
     e = edges(spark, d)
@@ -28,24 +25,26 @@ def graph_degree_topn(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_bfs_depth2(spark: SparkSession, d: str) -> DataFrame:
-    e = edges(spark, d, SMALL)
+    e = edges(spark, d)
     return graph.bfs(e, e.select(F.col("src").alias("entity_id")).distinct(), 2).withColumn("hops", F.col("hops").cast("long"))
 
 
 def graph_shortest_path(spark: SparkSession, d: str) -> DataFrame:
-    e = edges(spark, d, ("nation", "customer"))
-    pairs = e.where("src LIKE 'customer:%'").select(F.col("src").alias("start")).distinct().withColumn("goal", F.lit("region:1"))
-    return graph.shortest_path(e, pairs, 3).withColumn("hops", F.col("hops").cast("long"))
+    """From every node with an edge to one region, over all edges."""
+    e = edges(spark, d)
+    pairs = e.select(F.col("src").alias("start")).distinct().withColumn("goal", F.lit("region:1"))
+    return graph.shortest_path(e, pairs).withColumn("hops", F.col("hops").cast("long"))
 
 
 def graph_beam(spark: SparkSession, d: str) -> DataFrame:
-    e = edges(spark, d, SMALL)
-    seeds = e.where("src LIKE 'supplier:%'").select(F.col("src").alias("query_id"), F.col("src").alias("entity_id"), F.lit(1.0).alias("score")).distinct()
-    return graph.expand_beam(e, seeds, 6, 2, 12).withColumn("score", F.round("score", 6))
+    """A beam from every node that an edge leaves."""
+    e = edges(spark, d)
+    seeds = e.select(F.col("src").alias("query_id"), F.col("src").alias("entity_id"), F.lit(1.0).alias("score")).distinct()
+    return graph.expand_beam(e, seeds, 6, 2, 6).withColumn("score", F.round("score", 6))
 
 
 def entity_summary(spark: SparkSession, d: str) -> DataFrame:
-    return graph.entity_summary(edges(spark, d, ("orders", "customer", "nation")).select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return graph.entity_summary(edges(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
@@ -85,7 +84,6 @@ QUERIES = {
 }
 
 _E = f"e AS ({edges_sql()})"
-_S = f"e AS ({edges_sql(SMALL)})"
 _B = "b AS (SELECT src AS node, dst AS other, false AS incoming FROM e UNION ALL SELECT dst, src, true FROM e)"
 _T = "t AS (SELECT DISTINCT repo, name FROM (SELECT source AS repo, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS name FROM documents) WHERE length(name) >= 8)"
 
@@ -93,11 +91,12 @@ ORACLES = {
     "graph_edges_dedupe_last": f"WITH {_E} SELECT src, dst, CASE relationship WHEN 'contains' THEN 'inherits' ELSE arg_max(relationship, seq) END AS relationship FROM e GROUP BY src, dst, relationship QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY max(seq) DESC) = 1",
     "graph_incident": f"WITH {_E}, {_B} SELECT node, count(*) AS n, count(*) FILTER (incoming) AS incoming FROM b GROUP BY node",
     "graph_degree_topn": f"WITH {_E}, {_B} SELECT node, count(*) AS degree FROM b GROUP BY node ORDER BY degree DESC, node LIMIT 40",
-    "graph_bfs_depth2": f"""WITH RECURSIVE {_S}, w AS (SELECT DISTINCT src AS seed, src AS node, 0 AS hops FROM e UNION SELECT w.seed, e.dst, hops + 1 FROM w JOIN e ON e.src = w.node WHERE hops < 2)
+    "graph_bfs_depth2": f"""WITH RECURSIVE {_E}, w AS (SELECT DISTINCT src AS seed, src AS node, 0 AS hops FROM e UNION SELECT w.seed, e.dst, hops + 1 FROM w JOIN e ON e.src = w.node WHERE hops < 2)
 SELECT seed, node, min(hops)::BIGINT AS hops FROM w GROUP BY ALL HAVING min(hops) > 0""",
-    "graph_shortest_path": f"""WITH e AS ({edges_sql(("nation", "customer"))}) SELECT a.src AS start, 'region:1' AS goal, 2::BIGINT AS hops, a.src || '>' || a.dst || '>' || b.dst AS path
-FROM e a JOIN e b ON a.dst = b.src WHERE a.src LIKE 'customer:%' AND b.dst = 'region:1'""",
-    "entity_summary": f"""WITH e AS ({edges_sql(("orders", "customer", "nation"))}), r AS (SELECT DISTINCT dst AS node, src AS o FROM e), n AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY o) AS k FROM r)
+    "graph_shortest_path": f"""WITH {_E}, p1 AS (SELECT src, src || '>' || dst AS path, 1 AS hops FROM e WHERE dst = 'region:1'),
+p2 AS (SELECT e.src, min(e.src || '>' || p.path) AS path, 2 AS hops FROM e JOIN p1 p ON e.dst = p.src GROUP BY e.src), p3 AS (SELECT e.src, min(e.src || '>' || p.path) AS path, 3 AS hops FROM e JOIN p2 p ON e.dst = p.src GROUP BY e.src),
+u AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3) SELECT src AS start, 'region:1' AS goal, min(hops)::BIGINT AS hops, arg_min(path, hops) AS path FROM u GROUP BY src""",
+    "entity_summary": f"""WITH {_E}, r AS (SELECT DISTINCT dst AS node, src AS o FROM e), n AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY o) AS k FROM r)
 SELECT node, string_agg(o, ',' ORDER BY o) FILTER (k <= 10) AS neighbors, count(*) AS n FROM n GROUP BY node""",
     "cross_repo_shared": f"WITH {_T} SELECT x.repo AS a, y.repo AS b, count(*) AS n FROM t x JOIN t y ON x.name = y.name AND x.repo < y.repo WHERE regexp_matches(x.name, '^[A-Z]') GROUP BY ALL",
     "cross_repo_depends_on": f"""WITH {_T}, i AS (SELECT DISTINCT repo, lower(name) AS name FROM t WHERE regexp_matches(name, '^[A-Z]'))

@@ -131,7 +131,7 @@ def memory_brief_rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def memory_brief(spark: SparkSession, d: str) -> DataFrame:
-    return memory.brief(_memories(spark, d), F.lit("2024-06-01 00:00:00").cast("timestamp"), "user_id", 12, 5)
+    return memory.brief(_memories(spark, d), F.lit("2024-06-01 00:00:00").cast("timestamp"), "user_id", 60, 5)
 
 
 def memory_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -173,7 +173,7 @@ ASSIGNED = r'token = "([0-9a-f]{40})"'
 
 
 def redact_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    h = table(spark, d, "documents").select(F.explode(redacted("text")["hits"]).alias("h")).where("h.kind = 'assignment'")
+    h = table(spark, d, "documents").select(F.explode(redacted("text")["hits"]).alias("h")).where("h.kind = 'env_assignment'")
     return h.groupBy(F.col("h.fingerprint").alias("fingerprint")).agg(F.count("*").alias("n"))
 
 
@@ -216,11 +216,12 @@ def citation_extract(spark: SparkSession, d: str) -> DataFrame:
 def validity_flags(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     path = F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit(".py"))
-    records = docs.where("lang <> 'de'").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("name"), path.alias("file_path"))
+    own = F.concat(F.lit("f"), F.col("doc_id").cast("string"))
+    records = docs.where("lang <> 'de'").select(own.alias("id"), own.alias("name"), path.alias("file_path"))
     name = F.concat(F.lit("f"), (F.col("doc_id") + F.when(F.col("lang") == "es", 1).otherwise(0)).cast("string"))
     answers = docs.select(F.col("doc_id").alias("answer_id"), F.concat(F.lit("see `"), path, F.lit(":"), name, F.lit("` for it; "), name, F.lit(" calls f1")).alias("text"))
     edges = docs.where("lang = 'en'").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("src"), F.lit("calls").alias("rel"), F.lit("f1").alias("dst"))
-    return verify.validity_flags(answers, records, edges)
+    return verify.validity_flags(answers, records, edges).select("answer_id", "kind", "citation")
 
 
 QUERIES = {
@@ -265,7 +266,7 @@ SELECT conv_id, turn, text AS user_text, CASE WHEN nr = 'assistant' THEN nt END
     "latest_answer": "SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id",
     "keep_last_n": "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) > 2",
     "compact_shadow": "SELECT conv_id, turn FROM conversations JOIN (SELECT conv_id, max(turn) AS f FROM conversations WHERE role = 'user' GROUP BY conv_id) USING (conv_id) WHERE turn < f",
-    "event_generations": f"WITH {_EV} SELECT session_id, seq, 'e' || lpad(row_number() OVER w::VARCHAR, 4, '0') AS id, (sum((type = 'compact')::INT) OVER w)::BIGINT AS generation FROM ev WINDOW w AS (PARTITION BY session_id ORDER BY seq)",
+    "event_generations": f"WITH {_EV} SELECT session_id, seq, 'e' || format('{{:04d}}', row_number() OVER w) AS id, (sum((type = 'compact')::INT) OVER w)::BIGINT AS generation FROM ev WINDOW w AS (PARTITION BY session_id ORDER BY seq)",
     "session_cost": """WITH e AS (SELECT user_id AS session_id, event_type, round(value * 10)::BIGINT AS p, round(value * 30)::BIGINT AS f, CASE WHEN event_type = 'purchase' THEN round(value)::BIGINT END AS c FROM events)
 SELECT session_id, sum(p)::BIGINT AS packed, sum(f)::BIGINT AS "full", coalesce(sum(c), 0)::BIGINT AS completion, (5 * count(*) FILTER (event_type = 'error'))::BIGINT AS freed, count(*) FILTER (event_type = 'error') AS cleared,
   round((sum(p) * 3.0::DOUBLE + coalesce(sum(c), 0) * 15.0::DOUBLE) / 1e6, 6) AS dollars FROM e GROUP BY session_id""",
@@ -290,6 +291,9 @@ SELECT id, 'mem/' || strftime(ts, '%Y%m%d') || '-' || CASE WHEN s = '' THEN 'ite
 SELECT conv_id, turn, CASE WHEN regexp_matches(said, '{memory.CUES["error"]}') THEN 'error' WHEN regexp_matches(said, '{memory.CUES["decision"].replace("'", "''")}') THEN 'decision'
   WHEN regexp_matches(said, '{memory.CUES["preference"]}') THEN 'preference' ELSE 'fact' END AS kind, trim(substr(regexp_extract(trim(said), '^[^.!?\n]*'), 1, 80)) AS title FROM s""",
     "redact_fingerprint": f"""SELECT substr(sha256(v), 1, 12) AS fingerprint, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{ASSIGNED}', 1)) AS v FROM documents) GROUP BY 1""",
+    "redact_spans": f"""WITH m AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '{ASSIGNED}', 1)) AS v FROM documents)
+SELECT doc_id, 'env_assignment' AS kind, (strpos(text, v) - 1)::INT AS start, (strpos(text, v) + 39)::INT AS "end", substr(sha256(v), 1, 12) AS fingerprint FROM m""",
+    "redact_audit": f"""SELECT doc_id::VARCHAR AS query_id, len(regexp_extract_all(text, '{ASSIGNED}')) AS redaction_count FROM documents WHERE regexp_matches(text, '{ASSIGNED}')""",
     "cache_key_sha256": "SELECT item_id, sha256(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) || chr(10) || 'beam=6;cap=3;hyde=False;k=30;mode=hybrid;rerank=off' || chr(10) || '3') AS cache_key FROM benchmark",
     "content_fingerprint": """WITH h AS (SELECT source, sum(('0x' || substr(sha256(doc_id || chr(31) || coalesce(text, '')), 1, 12))::BIGINT::HUGEINT) AS s, count(*) AS n FROM documents GROUP BY source)
 SELECT source, substr(sha256(s || ':' || n), 1, 16) AS fingerprint FROM h""",
@@ -299,5 +303,18 @@ SELECT coalesce(b.page, a.page) AS page, CASE WHEN b.page IS NULL THEN 'added' W
 FROM b FULL JOIN a ON a.page = b.page WHERE b.page IS NULL OR a.page IS NULL OR a.source = 'src1'""",
     "slugify": """WITH s AS (SELECT page_id, regexp_replace(substr(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48), '-+$', '') AS s FROM pages) SELECT page_id, CASE WHEN s = '' THEN 'item' ELSE s END AS slug FROM s""",
     "entity_key_split": "SELECT doc_id, 'func' AS kind, source || '/' || lang || '.py' AS path, source || '/' || lang || '.py:f' || doc_id AS cite, 'python' AS fence FROM documents",
+    "memory_brief": f"""WITH RECURSIVE {_ME}, m AS (SELECT user_id, id, length('- **[' || kind || ']** ' || title || ' (' || strftime(ts, '%Y-%m-%d') || ')' || chr(10) || rtrim('  ' || trim(body)) || chr(10)) AS c,
+  round(0.7::DOUBLE * CASE kind WHEN 'decision' THEN 1.0 WHEN 'error' THEN 0.9 WHEN 'preference' THEN 0.6 ELSE 0.5 END::DOUBLE
+  + 0.3::DOUBLE * greatest(least(1 - (epoch(TIMESTAMP '2024-06-01') - floor(epoch(ts))) / 86400.0::DOUBLE / 365, 1.0), 0.0), 9) AS score, ts FROM me),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, ts DESC, id) AS n FROM m),
+l AS (SELECT user_id, list(struct_pack(id := id, c := c, score := score) ORDER BY n) AS x FROM r GROUP BY user_id),
+w AS (SELECT user_id, x, 1 AS i, CASE WHEN (25 + x[1].c) // 4 <= 60 THEN 25 + x[1].c ELSE 240 END AS u, CASE WHEN (25 + x[1].c) // 4 <= 60 THEN 0 ELSE 99 END AS place, true AS took FROM l
+  UNION ALL SELECT user_id, x, i + 1, CASE WHEN ok THEN u + x[i + 1].c ELSE u END, CASE WHEN ok THEN place + 1 ELSE place END, ok
+  FROM (SELECT *, (u + x[i + 1].c) // 4 <= 60 AND place < 4 AS ok FROM w) WHERE i < len(x) AND place < 4)
+SELECT user_id, x[i].id AS id, x[i].score AS score, (u // 4)::BIGINT AS used, place = 99 AS cut, (CASE WHEN place = 99 THEN 0 ELSE place END)::INT AS place FROM w WHERE took""",
+    "validity_flags": """WITH n AS (SELECT *, source || '/' || lang || '.py' AS path, 'f' || (doc_id + (lang = 'es')::INT) AS name FROM documents),
+k AS (SELECT 'f' || doc_id AS name, source || '/' || lang || '.py' AS path FROM documents WHERE lang <> 'de'), e AS (SELECT 'f' || doc_id AS name FROM documents WHERE lang = 'en')
+SELECT doc_id AS answer_id, 'missing_symbol' AS kind, path || ':' || name AS citation FROM n WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.name = n.name AND k.path = n.path)
+UNION ALL SELECT doc_id, 'contradicted_edge', name || ' calls f1' FROM n WHERE name IN (SELECT name FROM k) AND 'f1' IN (SELECT name FROM k) AND name NOT IN (SELECT name FROM e)""",
     "citation_extract": """SELECT doc_id AS answer_id, source || '/' || lang || '.py' AS path, 'f' || doc_id AS symbol FROM documents UNION ALL SELECT doc_id, 'docs/' || lang || '.md', '' FROM documents""",
 }

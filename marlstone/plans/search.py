@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import jaccard, token_estimate, tokenize, tokenize_identifiers
-from marlstone.operators import fusion, lexical, packing
+from marlstone.operators import fusion, index, lexical, packing
 from marlstone.operators import vectors as dense
-from marlstone.plans.tables import asked, chunks, table, vector_queries, vectors
+from marlstone.plans.tables import asked, chunks, stored_postings, table, vector_queries, vectors
 
 K = 10
 
@@ -36,7 +36,7 @@ def ident_split_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.bm25_search(chunks(spark, d), asked(spark, d), K).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+    return index.search(stored_postings(spark, d), asked(spark, d), K).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def bm25_idf(spark: SparkSession, d: str) -> DataFrame:
@@ -50,9 +50,10 @@ def overlap_channel(spark: SparkSession, d: str) -> DataFrame:
 
 def symbol_channel(spark: SparkSession, d: str) -> DataFrame:
     """Orders' clerk-like lookups: customers (as chunks) by the names that segments (as queries) ask for."""
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("chunk_id"), F.col("c_mktsegment").alias("entity_name"))
+    c = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("entity_name")).agg(F.count("*").alias("hits"), F.min("c_custkey").alias("chunk_id"))
     n = table(spark, d, "customer").select(F.col("c_nationkey").alias("query_id"), F.lower("c_mktsegment").alias("name"))
-    return lexical.symbol_channel(c, n).groupBy("query_id").agg(F.count("*").alias("hits"), F.min("chunk_id").alias("first_chunk"), F.max("score").alias("score"))
+    found = lexical.symbol_channel(c, n).join(c, "chunk_id")
+    return found.groupBy("query_id").agg(F.sum("hits").alias("hits"), F.min("chunk_id").alias("first_chunk"), F.max("score").alias("score"))
 
 
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +83,7 @@ def vector_norms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_pad8(spark: SparkSession, d: str) -> DataFrame:
-    p = dense.pad(F.slice("embedding", 1, 61))
+    p = dense.pad(F.concat("embedding", F.array(F.lit(1.0).cast("float"))))
     return vectors(spark, d).select("chunk_id", F.size(p).cast("long").alias("dim"), F.round(dense.norm(p), 6).alias("norm"))
 
 
@@ -91,7 +92,7 @@ def pca_2d(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sparse(spark: SparkSession, d: str, k: int = K * 3) -> DataFrame:
-    return lexical.bm25_search(chunks(spark, d), asked(spark, d), k).select("query_id", F.lit("sparse").alias("source"), "chunk_id", "score", "rank")
+    return index.search(stored_postings(spark, d), asked(spark, d), k).select("query_id", F.lit("sparse").alias("source"), "chunk_id", "score", "rank")
 
 
 def _wiki(spark: SparkSession, d: str, k: int = K * 2) -> DataFrame:
@@ -107,24 +108,29 @@ def rrf_two_lists(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _neighbors(spark: SparkSession, d: str) -> DataFrame:
-    """The graph channel: chunks of a file with a sparse hit, at a score by their file's best hit."""
-    c = chunks(spark, d)
-    hit = _sparse(spark, d, K).join(c.select("chunk_id", "file_path", "entity_type"), "chunk_id")
-    best = hit.groupBy("query_id", "file_path", "entity_type").agg(F.max("score").alias("best"))
-    return best.join(c.select("chunk_id", "file_path", "entity_type"), ["file_path", "entity_type"]).select("query_id", "chunk_id", F.round(F.col("best") * 0.8, 6).alias("score"))
+    """The graph channel: the chunk that follows a sparse hit in its file and language, at a score by the best such hit."""
+    following = F.lead("chunk_id").over(Window.partitionBy("file_path", "entity_type").orderBy("chunk_id"))
+    edges = chunks(spark, d).select("chunk_id", following.alias("next")).where("next is not null")
+    hit = _sparse(spark, d, K).join(edges, "chunk_id")
+    return hit.groupBy("query_id", F.col("next").alias("chunk_id")).agg(F.round(F.max("score") * 0.8, 6).alias("score"))
 
 
 def rrf_graph_boost(spark: SparkSession, d: str) -> DataFrame:
     return fusion.final_cut(fusion.graph_boost(_fused(spark, d), _neighbors(spark, d)), K).select("query_id", "chunk_id", "score")
 
 
-def _candidates(spark: SparkSession, d: str) -> DataFrame:
+def _candidates(spark: SparkSession, d: str, k: int = 2 * K) -> DataFrame:
     """Sparse hits with a deterministic stand-in for a model's score: the Jaccard similarity of the token sets."""
     c, q = chunks(spark, d), asked(spark, d)
-    rows = _sparse(spark, d, K * 2).drop("source").join(c, "chunk_id").join(q, "query_id")
+    rows = _sparse(spark, d, k).drop("source").join(c, "chunk_id").join(q, "query_id")
     return rows.withColumn("model_score", F.round(jaccard(F.array_distinct(tokenize("content")), F.array_distinct(tokenize("query"))), 9))
 
 
+def model_scores(spark: SparkSession, d: str) -> DataFrame:
+    """``query_id, chunk_id, model_score`` for the sparse hits, by the stand-in for a model."""
+    return _candidates(spark, d, 3 * K).select("query_id", "chunk_id", "model_score")
+
+
 def minmax_blend_rerank(spark: SparkSession, d: str) -> DataFrame:
     return fusion.blend_rerank(_candidates(spark, d), 0.4).select("query_id", "chunk_id", F.round("reranked", 6).alias("reranked"))
 
@@ -229,6 +235,11 @@ SELECT query_id, chunk_id, score FROM s QUALIFY row_number() OVER (PARTITION BY
 
 ORACLES = {
     "tokenize_counts": "SELECT doc_id AS chunk_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_terms FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda t: lower(t)) AS t FROM documents)",
+    "ident_split_tokens": r"""WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+') AS x FROM documents)
+SELECT doc_id AS chunk_id, array_to_string(flatten(list_transform(x, lambda t: list_concat([lower(t)], list_filter(string_split_regex(lower(regexp_replace(regexp_replace(t, '([a-z0-9])([A-Z])', '\1_\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1_\2', 'g')), '_+'),
+  lambda p: p <> '' AND p <> lower(t))))), ' ') AS tokens FROM t""",
+    "dense_quantized": """WITH s AS (SELECT vec_id, embedding::DOUBLE[] AS e, list_max(list_transform(embedding, lambda x: abs(x)::DOUBLE)) AS m FROM embeddings), q AS (SELECT *, CASE WHEN m > 0 THEN m / 127 ELSE 1.0 END AS c FROM s)
+SELECT vec_id AS chunk_id, round(c, 9) AS scale, array_to_string(list_transform(e, lambda x: round(x / c)::INT), ',') AS codes FROM q""",
     "postings_tf": f"WITH {_BM25} SELECT chunk_id, term, tf FROM p",
     "doc_freq": f"WITH {_BM25} SELECT term, df FROM df",
     "doc_len_stats": f"WITH {_BM25} SELECT count(*) AS n, round(avg(dl), 6) AS avgdl, max(dl) AS longest FROM st",
@@ -241,11 +252,11 @@ SELECT query_id, count(*) AS hits, min(c_custkey) AS first_chunk, 0.9::DOUBLE AS
     "dense_label_filter": _dense("label = 3"),
     "dense_allowlist_semi": _dense("vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en')"),
     "vector_norms": "SELECT vec_id AS chunk_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings",
-    "vector_pad8": "SELECT vec_id AS chunk_id, 64::BIGINT AS dim, round(sqrt(list_inner_product(embedding[1:61]::DOUBLE[], embedding[1:61]::DOUBLE[])), 6) AS norm FROM embeddings",
+    "vector_pad8": "SELECT vec_id AS chunk_id, 72::BIGINT AS dim, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) + 1), 6) AS norm FROM embeddings",
     "rrf_two_lists": f"WITH {_BM25}, {_OVERLAP}, {_FUSED}, r AS (SELECT query_id, chunk_id, round(score, 6) AS score, sources FROM f) SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= {K}",
     "rrf_graph_boost": f"""WITH {_BM25}, {_OVERLAP}, {_FUSED},
-hit AS (SELECT query_id, source AS file_path, lang, max(score) AS best FROM rk JOIN documents d ON d.doc_id = rk.chunk_id WHERE rank < {K} GROUP BY ALL),
-g AS (SELECT query_id, doc_id AS chunk_id, round(best * 0.8::DOUBLE, 6) AS g FROM hit JOIN documents d ON d.source = hit.file_path AND d.lang = hit.lang),
+nx AS (SELECT doc_id, lead(doc_id) OVER (PARTITION BY source, lang ORDER BY doc_id) AS nxt FROM documents),
+g AS (SELECT query_id, nxt AS chunk_id, round(max(score) * 0.8::DOUBLE, 6) AS g FROM rk JOIN nx ON doc_id = chunk_id WHERE rank < {K} AND nxt IS NOT NULL GROUP BY ALL),
 m AS (SELECT query_id, max(score) AS m FROM f GROUP BY query_id),
 u AS (SELECT coalesce(f.query_id, g.query_id) AS query_id, coalesce(f.chunk_id, g.chunk_id) AS chunk_id, f.score, g.g FROM f FULL JOIN g ON f.query_id = g.query_id AND f.chunk_id = g.chunk_id),
 b AS (SELECT u.query_id, u.chunk_id, round(coalesce(u.score + CASE WHEN g IS NOT NULL THEN 0.2::DOUBLE * greatest(coalesce(m, 0), 0.1::DOUBLE) ELSE 0 END, g * coalesce(m, 0)), 6) AS score FROM u LEFT JOIN m USING (query_id))

@@ -2,27 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.plans.tables import table
+from marlstone.scratch import scratch
 from marlstone.streaming import incremental
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all machines share; in local mode one is made where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        root = tempfile.mkdtemp(prefix="marlstone-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/marlstone/{label}-{uuid.uuid4().hex}"
-
-
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     """The table as a stream of its files, whether it is one file or a folder of them."""
     kind = table(spark, d, name).schema

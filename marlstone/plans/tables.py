@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.operators.index import open_index, write_index
+from marlstone.scratch import scratch_root, version
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,6 +19,16 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("source").alias("file_path"), F.col("lang").alias("entity_type"))
 
 
+def stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored lexical index of the documents: written once for what the table's files hold, then read by every query."""
+    path = f"{scratch_root(spark)}/index-{version(spark, f'{sf_dir}/documents.parquet')}"
+    found = open_index(spark, path)
+    if found is None:
+        write_index(chunks(spark, sf_dir), path)
+        found = open_index(spark, path)
+    return found
+
+
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
