@@ -3,7 +3,12 @@
 Archives are written by Spark's text writer, so they reach any store that Spark can write to: each record's gzip member is one
 row, and the row separator is a zero byte, which gzip readers take for padding between members. The reader checks each member
 (deflate stream, CRC, length) and each record (version line, header, content length, closing blank lines, block digest). After a
-failed check it searches on for the next member or version line whose record passes, and logs the bytes between as a gap.
+failed check it searches on for the next member or version line whose record passes, and logs the bytes between as a gap. Inside a
+member that holds several records the search goes on in the inflated bytes, and of a member that is damaged or cut off the records
+inflated before the damage stay, if their own digests vouch for them.
+
+An archive is read whole by one task, so archives are to be cut to at most 2 GB, the reader's bound on a file; the writer's are parts of
+a partition each.
 """
 
 from __future__ import annotations
@@ -26,8 +31,6 @@ VERSION = b"WARC/1."
 GZIP = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("6f1c9a64-3f0e-4a0b-9d3c-5d0c8b6f2a11")
-#: Inflated bytes of one member at most; a member beyond that fails its check.
-MEMBER_BYTES = 1 << 30
 
 
 def sha1_32(data: bytes) -> str:
@@ -108,40 +111,63 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return head, block, end + 4
 
 
-def inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """The gzip member at ``at`` and its end; ``Bad`` if it is damaged or cut off."""
+def inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What can be inflated of the gzip member at ``at``, its end, and what is wrong with it (empty if nothing is)."""
     unpack, view, out, pos = zlib.decompressobj(31), memoryview(data), [], at
-    size = 0
     try:
         while not unpack.eof and pos < len(data):
-            piece = view[pos : pos + 65536]
+            # Small pieces, so that little before the damage is lost with it.
+            piece = view[pos : pos + 4096]
             out.append(unpack.decompress(piece))
-            size += len(out[-1])
             pos += len(piece)
-            if size > MEMBER_BYTES:
-                raise Bad("the member is too long")
     except zlib.error as e:
-        raise Bad(f"damaged member: {e}") from None
-    if not unpack.eof:
-        raise Bad("the member is cut off")
-    return b"".join(out), pos - len(unpack.unused_data)
+        return b"".join(out), pos, f"damaged member: {e}"
+    return b"".join(out), pos - len(unpack.unused_data), "" if unpack.eof else "the member is cut off"
+
+
+def plain_records(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str]]:
+    """Start, end, header, block and reason of the records in bytes that aren't compressed; header None for a run that no record owns."""
+    at, gap, reason = 0, -1, ""
+    while at < len(data):
+        try:
+            head, block, end = parse_record(data, at)
+        except Bad as e:
+            if gap < 0:
+                gap, reason = at, str(e)
+            at = data.find(VERSION, at + 1)
+            at = len(data) if at < 0 else at
+            continue
+        if gap >= 0:
+            yield gap, at, None, b"", reason
+            gap = -1
+        yield at, end, head, block, ""
+        at = end
+    if gap >= 0:
+        yield gap, len(data), None, b"", reason
 
 
 def salvage(data: bytes) -> Iterator[Found]:
-    """All records of an archive (plain, or gzip members) in order, with a gap for each run of bytes that no record owns."""
+    """All records of an archive (plain, or gzip members) in order, with a gap for each run of bytes that no record owns.
+
+    A gap inside a sound member has the member's range and says which inflated bytes are lost. Records saved from a damaged member
+    have the range of the gap that follows them.
+    """
     at, size, gap, reason = 0, len(data), -1, ""
+    saved: list[Found] = []
     while at < size:
         found: list[Found] = []
         end = at + 1
         try:
             if data.startswith(GZIP, at):
-                inner, end = inflate(data, at)
-                pos = 0
-                while pos < len(inner):
-                    head, block, pos = parse_record(inner, pos)
-                    found.append(Found(at, end, head, block))
-                if not found:
-                    raise Bad("an empty member")
+                inner, end, wrong = inflate(data, at)
+                parts = list(plain_records(inner))
+                if wrong:
+                    saved += [Found(at, at, h, block) for _, _, h, block, _ in parts if h is not None and h.get("warc-block-digest", "").startswith("sha1:")]
+                    raise Bad(wrong)
+                if not any(h is not None for _, _, h, _, _ in parts):
+                    raise Bad(parts[0][4] if parts else "an empty member")
+                for a, z, head, block, why in parts:
+                    found.append(Found(at, end, head, block) if head is not None else Found(at, end, reason=f"inflated bytes {a} to {z}: {why}"))
             elif data.startswith(VERSION, at):
                 head, block, end = parse_record(data, at)
                 found.append(Found(at, end, head, block))
@@ -157,11 +183,13 @@ def salvage(data: bytes) -> Iterator[Found]:
             at = min(nexts, default=size)
             continue
         if gap >= 0:
+            yield from (Found(gap, at, f.head, f.block) for f in saved)
             yield Found(gap, at, reason=reason)
-            gap = -1
+            gap, saved = -1, []
         yield from found
         at = end
     if gap >= 0:
+        yield from (Found(gap, size, f.head, f.block) for f in saved)
         yield Found(gap, size, reason=reason)
 
 

@@ -73,3 +73,37 @@ def test_gaps_reach_the_table(spark, tmp_path):
     out = read_archives(spark, str(tmp_path)).orderBy("start").collect()
     assert [(r.kind, r.page_id) for r in out] == [("record", 0), ("gap", None), ("record", 2)]
     assert (out[1].start, out[1].end) == (len(a), len(a) + len(b) - 30)
+
+
+def test_a_bad_record_in_a_member_costs_only_itself():
+    good = [record(i, "u", b"body %d" % i * 9, None) for i in range(4)]
+    bad = good[2].replace(b"body 2", b"bodY 2")
+    data = gzip_member(good[0] + good[1] + bad + good[3]) + gzip_member(record(9, "u", b"next", None))
+    found = list(salvage(data))
+    assert ids(found) == [0, 1, 3, 9]
+    (gap,) = [f for f in found if f.head is None]
+    a = len(good[0] + good[1])
+    assert gap.reason == f"inflated bytes {a} to {a + len(bad)}: the block digest differs" and gap.start == 0
+
+
+@pytest.mark.parametrize("cut", [0.5, 0.9])
+def test_records_before_the_damage_of_a_member_are_saved(cut):
+    r = random.Random(1)
+    good = [record(i, "u", bytes(r.randrange(256) for _ in range(3000)), None) for i in range(20)]
+    whole = gzip_member(b"".join(good))
+    at = int(len(whole) * cut)
+    for hurt in (whole[:at], whole[:at] + bytes([whole[at] ^ 0xFF]) + whole[at + 1 :]):
+        data = hurt + gzip_member(record(99, "u", b"after", None))
+        found = list(salvage(data))
+        got = ids(found)
+        # Damage that inflating passes over costs one record, other damage all after it.
+        assert got == sorted(got) and got[-1] == 99 and set(range(int(20 * cut) - 2)) <= set(got) and len(got) < 21
+        assert [f for f in found if f.head is None][0].start == 0
+
+
+def test_a_stream_of_many_megabytes_is_one_member(spark, tmp_path):
+    """No bound on a member's inflated bytes but memory."""
+    body = b"x" * 40_000_000
+    (tmp_path / "x.warc.gz").write_bytes(gzip_member(record(1, "u", body, None) + record(2, "u", b"y", None)))
+    out = read_archives(spark, str(tmp_path), with_block=False).orderBy("page_id").collect()
+    assert [(r.page_id, r.payload_bytes, r.kind) for r in out] == [(1, len(body), "record"), (2, 1, "record")]
