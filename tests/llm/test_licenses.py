@@ -1,8 +1,9 @@
 import random
 import re
+import textwrap
 
 from marlstone.llm.common import documents
-from marlstone.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, TemplateJoin, blocks, license_scan, words
+from marlstone.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, TemplateJoin, blocks, license_scan, token_frequency, words
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -56,3 +57,21 @@ def test_filters_lose_no_match():
             block = set(words(" ".join(r.sample(vocabulary, r.randint(0, 40)))))
             want = {k for k, (_, t) in enumerate(templates) if len(set(words(t)) & block) >= threshold * len(set(words(t))) - 1e-9}
             assert set(join.matches(block)) == want
+
+
+def test_templates_are_found_without_any_phrase(docs):
+    rows = [(1, "Licensed under CC BY-NC 4.0", "s"), (2, "nothing here", "s"), (None, "Licensed under CC BY-NC 4.0", "s")]
+    out = {(r.doc_id, r.labels, r.base_labels) for r in license_scan(docs(rows), phrases={}).collect()}
+    assert out == {(1, "cc-by-nc", ""), (2, "", ""), (None, "cc-by-nc", "")}
+
+
+def test_wrapped_license_texts(docs):
+    """Every template, wrapped at 60 characters as a paragraph, in the middle of a text."""
+    rows = [(i, "Some words before.\n\n" + textwrap.fill(t, 60) + "\n\nand after", "s") for i, (_, t) in enumerate(TEMPLATES)]
+    out = {r.doc_id: r.labels.split(",") for r in license_scan(docs(rows)).collect()}
+    assert all(label in out[i] for i, (label, _) in enumerate(TEMPLATES))
+
+
+def test_frequency_counts_blocks(docs):
+    rows = [(1, "license mit\nlicense\n\nlicense", "s"), (2, None, "s")]
+    assert token_frequency(docs(rows), [("x", "license mit")]) == {b"license": 4, b"mit": 2}
