@@ -5,7 +5,6 @@ import pytest
 
 import corpus_pipeline
 from marlstone.llm.common import documents, materialize
-from marlstone.llm.simhash import fingerprint_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,21 +37,40 @@ def test_exact_dedup_against_brute_force(stages):
     assert {r.doc_id for r in stages[2]} == {min(g)[1] for g in groups.values()}
 
 
-def test_near_dedup_against_brute_force(stages):
-    prints = {r.doc_id: fingerprint_of(r.text) for r in stages[2]}
-    root = {i: i for i in prints}
+def near_components(texts, least=0.8):
+    """Components of the pairs whose five-word shingles have a Jaccard similarity of ``least``, by comparing all pairs."""
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[i] = {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    root = {i: i for i in texts}
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for i in prints:
-        for j in prints:
-            if j < i and ((prints[i] ^ prints[j]) & (2**64 - 1)).bit_count() <= 3:
+    for i in texts:
+        for j in texts:
+            if j < i and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) - 1e-9:
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
-    assert sorted(r.doc_id for r in stages[3]) == sorted({find(i) for i in prints})
+    return {i: find(i) for i in texts}
+
+
+def test_near_dedup_against_brute_force(stages):
+    want = near_components({r.doc_id: r.text for r in stages[2]})
+    assert sorted(r.doc_id for r in stages[3]) == sorted(set(want.values()))
+
+
+def test_run_packs_what_the_stages_keep(spark, stages):
+    """``run`` returns the pieces of the stages' result, each id of each kept document once a copy."""
+    piece = lambda r: (r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens)
+    whole = lambda rows: Counter((r.doc_id, r.doc_tokens) for r in rows if r.start == 0)
+    out = corpus_pipeline.run(spark, SF).collect()
+    assert whole(out) == whole(stages[5]) == Counter({(i, n): k for (i, n), k in whole(stages[5]).items()})
+    assert sum(r.length for r in out) == sum(r.length for r in stages[5]) and all(piece(r)[2] > 0 for r in out)
+    assert whole(out).total() == len(stages[4])
 
 
 def test_mixing_meets_targets(stages):
