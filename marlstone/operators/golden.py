@@ -119,14 +119,24 @@ def ablation_hits(channels: dict[str, DataFrame], weights: dict[str, float], gra
     return out
 
 
-def native_identifiers(query: Column) -> Column:
-    """Names that the query spells out, lower-cased, each once; file names don't count."""
+def native_identifiers(query: Column, lower: bool = True) -> Column:
+    """Names that the query spells out, each once (lower-cased unless asked otherwise); file names don't count."""
     ticked = F.filter(F.transform(F.regexp_extract_all(query, F.lit("`([^`]+)`")), lambda t: F.trim(t)), lambda t: t != "")
     shaped = [F.regexp_extract_all(query, F.lit(p), F.lit(0)) for p in (CAMEL, SNAKE, DOTTED)]
     proper = F.filter(F.regexp_extract_all(query, F.lit(PROPER), F.lit(0)), lambda t: ~t.isin(*PROPER_STOP))
     file_name = r"(?i)\b[\w./-]+\.(?:" + "|".join(PATH_EXTENSIONS) + r")\b"
     terms = F.filter(F.concat(ticked, *shaped, proper), lambda t: ~F.regexp(t, F.lit(file_name)))
-    return F.array_distinct(F.transform(terms, F.lower))
+    return F.array_distinct(F.transform(terms, F.lower) if lower else terms)
+
+
+def rewrite(query: Column, attempt: Column, mode: Column) -> Column:
+    """``struct<query, action>``: what a retry asks and does. A graph question keeps its names and goes deeper; names that differ from the
+    query replace it; else a second retry searches by an invented answer."""
+    names = native_identifiers(F.coalesce(query, F.lit("")), lower=False)
+    focus = F.nullif(F.array_join(names, " "), F.lit(""))
+    says = lambda q, action: F.struct(q.alias("query"), F.lit(action).alias("action"))
+    changed = focus.isNotNull() & (F.lower(F.trim(focus)) != F.lower(F.trim(F.coalesce(query, F.lit("")))))
+    return F.when(mode == "graph", says(F.coalesce(focus, query), "deepen_graph")).when(changed, says(F.coalesce(focus, query), "rewrite")).when(attempt >= 2, says(query, "hyde")).otherwise(says(F.coalesce(focus, query), "rewrite"))
 
 
 def heuristic_grade(hits: DataFrame, queries: DataFrame) -> DataFrame:

@@ -205,6 +205,12 @@ def build_edges(entities: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
+def by_package(nodes: DataFrame) -> DataFrame:
+    """``package, type, n, first``: nodes counted by the folder of their file, with the least id of each kind."""
+    package = F.coalesce(F.nullif(F.regexp_extract("file_path", r"^(.*)/[^/]*$", 1), F.lit("")), F.lit("."))
+    return nodes.groupBy(package.alias("package"), "type").agg(F.count("*").alias("n"), F.min("entity_id").alias("first"))
+
+
 def mermaid(edges: DataFrame, focus: str | None = None, most: int = 40) -> str:
     """A Mermaid flowchart: the focus with three neighbours of each relation, or the ``most`` nodes of highest degree. The driver gets
     that bounded part alone."""

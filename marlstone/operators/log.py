@@ -123,3 +123,27 @@ def extractive_summary(pairs: DataFrame, session: str = "session_id", seq: str =
 
 def render(messages: DataFrame) -> Column:
     return F.concat_ws(": ", "role", "text")
+
+
+def tool_pairs(events: DataFrame) -> DataFrame:
+    """``session_id, result_id, use_id, tool_name``: each tool result with the use that it names, or the last use before it where it names none
+    (null if there is none)."""
+    order = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    is_use = F.col("type") == "tool_use"
+    rows = events.where(F.col("type").isin("tool_use", "tool_result")).withColumn("_last", F.last(F.when(is_use, F.col("id")), ignorenulls=True).over(order))
+    uses = rows.where(is_use).select("session_id", F.col("id").alias("use_id"), "tool_name")
+    results = rows.where(~is_use).select("session_id", F.col("id").alias("result_id"), F.coalesce("tool_use_id", "_last").alias("use_id"))
+    return results.join(uses, ["session_id", "use_id"], "left").select("session_id", "result_id", F.when(F.col("tool_name").isNotNull(), F.col("use_id")).alias("use_id"), "tool_name")
+
+
+# The types of a typed log, its version, and the events of the log before it.
+TYPES = ("user", "assistant", "tool_use", "tool_result", "system", "compact", "clear", "verify", "meta")
+VERSION = 1
+LEGACY = ("session_start", "turn", "compact", "clear_tool_results")
+
+
+def log_kinds(rows: DataFrame, session: str = "session_id", place: str = "seq") -> DataFrame:
+    """``session, legacy``: whether the first row that tells is of the older kind. ``rows``: ``type, v, event``; a log of no telling row isn't."""
+    typed = F.col("type").isin(*TYPES) & (F.col("v") == VERSION)
+    tells = F.when(F.coalesce(typed, F.lit(False)), False).when(F.col("event").isin(*LEGACY), True)
+    return rows.groupBy(session).agg(F.coalesce(F.min_by(tells, F.when(tells.isNotNull(), F.col(place))), F.lit(False)).alias("legacy"))

@@ -110,3 +110,10 @@ def stall_jaccard(attempts: DataFrame, both_empty: float = 1.0) -> DataFrame:
     union = F.size(F.array_union("ids", before))
     value = F.when(union > 0, F.size(F.array_intersect("ids", before)) / union).otherwise(F.lit(both_empty))
     return attempts.withColumn("similarity", F.when(before.isNotNull(), value))
+
+
+def markdown(report: DataFrame, most: int = 200) -> str:
+    """A report of at most ``most`` rows as a Markdown table; fractions to four places, nulls as a dash."""
+    shown = lambda v: "-" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
+    lines = [report.columns, ["---"] * len(report.columns), *[[shown(v) for v in row] for row in report.limit(most).collect()]]
+    return "\n".join("| " + " | ".join(line) + " |" for line in lines) + "\n"

@@ -41,7 +41,7 @@ def dense_search(
     """Exact top ``k`` by cosine: ``query_id, chunk_id, score, rank``.
 
     ``vectors``: ``chunk_id, embedding`` and any filter columns; ``queries``: ``query_id, embedding``, a stated set, gathered in blocks of
-    ``block_rows``. A block goes to every task as one matrix (``block_rows`` times the dimension, a fixed bound); each task keeps its own
+    ``block_rows``. ``GROUP_BLOCKS`` blocks go to every task (a fixed bound) and share one scan; each slice of a batch keeps its own
     best ``k`` of each query and only those are shuffled. ``where`` reaches the scan; ``allowed`` (``chunk_id``) is a semi join.
     """
     rows = vectors.where(where) if where else vectors
@@ -53,28 +53,22 @@ def dense_search(
     schema = f"query_id {asked}, chunk_id {key}, score double"
     parts = None
     source = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).toLocalIterator(prefetchPartitions=True)
-    while True:
-        block = [r for _, r in zip(range(block_rows), source, strict=False)]
-        if not block:
-            break
-        ids = [r["query_id"] for r in block]
-        matrix = np.array([r["embedding"] for r in block], dtype=np.float64)
-        length = np.linalg.norm(matrix, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast((ids, matrix / np.where(length == 0, 1, length)))
+    while group := _blocks(source, block_rows):
+        shared = spark.sparkContext.broadcast(group)
 
         def best(batches, shared=shared):
-            names, q = shared.value
             for b in batches:
-                if not len(b):
-                    continue
-                m = np.vstack(b["embedding"].to_numpy())
-                size = np.linalg.norm(m, axis=1, keepdims=True)
-                scores = np.round(q @ (m / np.where(size == 0, 1, size)).T, 6)
-                keys = b["chunk_id"].to_numpy()
-                order = np.argsort(keys, kind="stable")
-                scores, keys = scores[:, order], keys[order]
-                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(np.array(names, dtype=object), top.shape[1]), "chunk_id": keys[top].ravel(), "score": np.take_along_axis(scores, top, axis=1).ravel()})
+                for at in range(0, len(b), SLICE_ROWS):
+                    part = b.iloc[at : at + SLICE_ROWS]
+                    m = np.vstack(part["embedding"].to_numpy())
+                    size = np.linalg.norm(m, axis=1, keepdims=True)
+                    keys = part["chunk_id"].to_numpy()
+                    order = np.argsort(keys, kind="stable")
+                    unit, keys = (m / np.where(size == 0, 1, size))[order].T, keys[order]
+                    for names, q in shared.value:
+                        scores = np.round(q @ unit, 6)
+                        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                        yield pd.DataFrame({"query_id": np.repeat(names, top.shape[1]), "chunk_id": keys[top].ravel(), "score": np.take_along_axis(scores, top, axis=1).ravel()})
 
         found = rows.mapInPandas(best, schema)
         parts = found if parts is None else parts.unionByName(found)
@@ -83,6 +77,20 @@ def dense_search(
     return top_k(parts, k)
 
 
+#: Blocks of queries that one scan serves, and rows of a batch that are scored at once: 32,768 queries a scan, and 16 MB of scores.
+GROUP_BLOCKS, SLICE_ROWS = 16, 1024
+
+
+def _blocks(source, block_rows: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The next ``GROUP_BLOCKS`` blocks of ids and unit vectors."""
+    out = []
+    while len(out) < GROUP_BLOCKS and (block := [r for _, r in zip(range(block_rows), source, strict=False)]):
+        matrix = np.array([r["embedding"] for r in block], dtype=np.float64)
+        length = np.linalg.norm(matrix, axis=1, keepdims=True)
+        out.append((np.array([r["query_id"] for r in block], dtype=object), matrix / np.where(length == 0, 1, length)))
+    return out
+
+
 def quantized(vectors: DataFrame, bits: int = 8) -> DataFrame:
     """Adds ``codes`` (signed integers of ``bits`` bits) and ``scale``: the vector is about ``codes * scale``."""
     most = float(2 ** (bits - 1) - 1)
@@ -92,6 +100,12 @@ def quantized(vectors: DataFrame, bits: int = 8) -> DataFrame:
     return rows.withColumn("codes", F.transform("embedding", lambda x: F.round(x / F.col("scale")).cast("tinyint" if bits <= 8 else "smallint")))
 
 
+def low_bit_search(vectors: DataFrame, queries: DataFrame, k: int = 30, bits: int = 4, where: str | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """Top ``k`` by the cosine of the query and the codes of ``bits`` bits (2 to 8) alone; a code's scale cancels out in a cosine."""
+    coded = quantized(vectors, bits).withColumn("embedding", F.col("codes").cast("array<double>")).drop("codes", "scale")
+    return dense_search(coded, queries, k, where, allowed)
+
+
 def approximate_search(vectors: DataFrame, queries: DataFrame, k: int = 30, bucket: float = 0.6, tables: int = 12, seed: int = 5) -> DataFrame:
     """Random-projection buckets on unit vectors, then exact cosine of the candidates: ``query_id, chunk_id, score, rank``."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH

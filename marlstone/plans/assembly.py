@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import token_estimate
-from marlstone.operators import enrich, filters, golden, index, log, memory, packing, retrieval
+from marlstone.operators import corrective, enrich, filters, golden, index, log, memory, packing, retrieval
 from marlstone.operators import vectors as dense
 from marlstone.plans import search
 from marlstone.plans.tables import asked, chunks, stored_postings, table, vectors
@@ -210,6 +210,14 @@ def loop_stalls(spark: SparkSession, d: str) -> DataFrame:
     return golden.stall_rates(parts, 0.8).select("query_id", F.col("stalls").cast("long").alias("stalls"), F.col("escapes").cast("long").alias("escapes"))
 
 
+def corrective_loop(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark texts through the loop over the stored index."""
+    post = stored_postings(spark, d)
+    info = chunks(spark, d).select("chunk_id", F.concat(F.lit("f"), F.col("chunk_id").cast("string")).alias("entity_name"), F.concat("file_path", F.lit("/"), "entity_type", F.lit(".py")).alias("file_path"))
+    _, outcomes = corrective.run_loop(asked(spark, d), lambda q, n: index.search(post, q, n), info, None, K)
+    return outcomes.select("query_id", F.col("attempts").cast("long").alias("attempts"), "reason", F.round("grade", 6).alias("grade"))
+
+
 def citation_coverage(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pages")
     part = lambda m, s: F.concat(F.lit(s), F.lit("p"), (F.col("page_id") % m).cast("string"), F.lit(".py"))
@@ -271,7 +279,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         retrieve_bm25, retrieve_hybrid, graph_channel, retrieve_graph, allowlist, doc_channel, memory_search, last_chunk_of_entity, entity_seeds, chunk_predicates, golden_matches, golden_eval,
-        golden_report, golden_ablations, loop_grade, loop_identifiers, loop_stop, loop_merge, loop_stalls, citation_coverage, exposed_endpoints, tested_symbols, gloss_links, number_many_events,
+        golden_report, golden_ablations, loop_grade, loop_identifiers, loop_stop, loop_merge, loop_stalls, corrective_loop, citation_coverage, exposed_endpoints, tested_symbols, gloss_links, number_many_events,
         pack_stub_tokens,
     )
 }

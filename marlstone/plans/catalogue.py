@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.plans import assembly, evaluation, graphs, records, search, streams
+from marlstone.plans import assembly, evaluation, graphs, pieces, records, search, streams
 
-FAMILIES = (search, evaluation, graphs, records, streams, assembly)
+FAMILIES = (search, evaluation, graphs, records, streams, assembly, pieces)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

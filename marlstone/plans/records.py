@@ -295,8 +295,9 @@ SELECT conv_id, turn, CASE WHEN regexp_matches(said, '{memory.CUES["error"]}') T
 SELECT doc_id, 'env_assignment' AS kind, (strpos(text, v) - 1)::INT AS start, (strpos(text, v) + 39)::INT AS "end", substr(sha256(v), 1, 12) AS fingerprint FROM m""",
     "redact_audit": f"""SELECT doc_id::VARCHAR AS query_id, len(regexp_extract_all(text, '{ASSIGNED}')) AS redaction_count FROM documents WHERE regexp_matches(text, '{ASSIGNED}')""",
     "cache_key_sha256": "SELECT item_id, sha256(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) || chr(10) || 'beam=6;cap=3;hyde=False;k=30;mode=hybrid;rerank=off' || chr(10) || '3') AS cache_key FROM benchmark",
-    "content_fingerprint": """WITH h AS (SELECT source, sum(('0x' || substr(sha256(doc_id || chr(31) || coalesce(text, '')), 1, 12))::BIGINT::HUGEINT) AS s, count(*) AS n FROM documents GROUP BY source)
-SELECT source, substr(sha256(s || ':' || n), 1, 16) AS fingerprint FROM h""",
+    "content_fingerprint": """WITH r AS (SELECT source, sha256(doc_id || chr(31) || coalesce(text, '')) AS x FROM documents),
+h AS (SELECT source, sum(('0x' || substr(x, 1, 15))::BIGINT::HUGEINT) AS a, sum(('0x' || substr(x, 16, 15))::BIGINT::HUGEINT) AS b, sum(('0x' || substr(x, 31, 15))::BIGINT::HUGEINT) AS c, sum(('0x' || substr(x, 46, 15))::BIGINT::HUGEINT) AS d, count(*) AS n FROM r GROUP BY source)
+SELECT source, substr(sha256(a || ':' || b || ':' || c || ':' || d || ':' || n), 1, 16) AS fingerprint FROM h""",
     "dirty_set_diff": """WITH p AS (SELECT source || '/' || lang AS page, source, lang, text FROM documents),
 b AS (SELECT DISTINCT page FROM p WHERE lang <> 'es'), a AS (SELECT DISTINCT page, source FROM p WHERE lang <> 'de')
 SELECT coalesce(b.page, a.page) AS page, CASE WHEN b.page IS NULL THEN 'added' WHEN a.page IS NULL THEN 'removed' ELSE 'changed' END AS state

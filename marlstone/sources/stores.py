@@ -30,6 +30,22 @@ def delete_repo(spark: SparkSession, path: str, repo: str, column: str = "repo_n
     return bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True))
 
 
+def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Both tables below ``path``; edges are sorted by their origin, so that a node's own are read together."""
+    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    edges.repartitionByRange("src").sortWithinPartitions("src", "dst").write.mode("overwrite").parquet(f"{path}/edges")
+
+
+def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+
+
+def spill_originals(chunks: DataFrame, path: str) -> None:
+    """Originals of packed chunks by chunk id, each once, for later expansion; a repeated id keeps the longest text."""
+    best = chunks.groupBy("chunk_id").agg(F.max_by("content", F.struct(F.length("content"), "content")).alias("content"))
+    best.repartitionByRange("chunk_id").write.mode("append").parquet(path)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Rows of ``new`` replace those with their key."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions.redact import redact_text
-from marlstone.operators import enrich, filters, fusion, golden, graph, index, lexical, log, memory, metrics, packing, retrieval, verify
+from marlstone.operators import corrective, enrich, filters, fusion, golden, graph, index, lexical, log, memory, metrics, packing, retrieval, verify
 from marlstone.operators import vectors as dense
 from marlstone.plans import catalogue
 from marlstone.plans.tables import table, vector_queries, vectors
@@ -369,3 +369,28 @@ def test_memory_extract_and_reconcile_queries(spark):
             s, match, x, y = max(((likeness(t, t2) + likeness(b, b2), j, likeness(t, t2), likeness(b, b2)) for j, m, t2, b2 in users if m == 0 and (t | b) & (t2 | b2)), default=(0, None, 0, 0))
             action = "add" if match is None else "skip" if y >= 0.55 or (x >= 0.7 and y >= 0.3) else "supersede" if x >= 0.35 else "add"
             assert got[i] == (action, match if action != "add" else None)
+
+
+def test_corrective_loop_with_a_scripted_search(spark):
+    """``good`` is answered at once; ``names`` only after its rewritten query; ``stuck`` finds the same again and stalls; ``late`` runs out of rounds."""
+    script = {
+        "load_item where": ["x1"], "please explain load_item": ["x2", "x3"], "load_item": ["g1", "x2"], "why is nothing_here so": ["x1", "x2"], "nothing_here": ["x1", "x2"], "how about gone_far now": ["x1"], "gone_far": ["x4", "x5", "x3"],
+    }
+    info = spark.createDataFrame([("g1", "load_item", "src/explain/a.py"), *[(f"x{i}", f"other{i}", "src/b.py") for i in range(1, 6)]], "chunk_id string, entity_name string, file_path string")
+    queries = spark.createDataFrame([("good", "load_item"), ("names", "please explain load_item"), ("stuck", "why is nothing_here so"), ("late", "how about gone_far now")], "query_id string, query string")
+    seen = []
+
+    def search(state, n):
+        rows = state.collect()
+        seen.append({r.query_id: (r.query, r.mode, n) for r in rows})
+        hits = [(r.query_id, c, i) for r in rows for i, c in enumerate(script[r.query][:n])]
+        return spark.createDataFrame(hits, "query_id string, chunk_id string, rank int")
+
+    results, outcomes = corrective.run_loop(queries, search, info, None, k=2, extra=2)
+    got = {r.query_id: (r.attempts, r.reason, r.stalls) for r in outcomes.collect()}
+    assert got["good"] == (1, "grade", 0) and got["names"] == (2, "grade", 0) and got["stuck"] == (2, "stall", 1) and got["late"][1] in ("budget", "stall")
+    assert seen[0]["good"] == ("load_item", "bm25", 2) and seen[1]["names"] == ("load_item", "bm25", 8) and "good" not in seen[1]
+    order = {(r.query_id, r["rank"]): r.chunk_id for r in results.collect()}
+    assert order["names", 0] == "g1" and order["good", 0] == "g1"
+    none, said = corrective.run_loop(queries.limit(0), search, info)
+    assert none.count() == said.count() == 0
