@@ -33,7 +33,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     Sources by code point (null last) weigh ``weights``, repeating, and share ``share`` times all sizes; a target stops
     at ``cap`` times its source's size and the excess is reshared by weight until none is above. Filling up by rising
     ``cap * size / weight`` reaches that fixed point in one pass: the capped sources are a prefix of this order.
-    The windows run over one row for each source, never over documents.
+    The windows run over one row for each source, never over documents, and all sources meet in one task: they name collections, some
+    millions of which a task can hold.
     """
     every = Window.orderBy(F.col("source").isNull(), F.encode(F.col("source"), "UTF-8"))
     pick = F.lit([float(w) for w in weights])

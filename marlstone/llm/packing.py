@@ -5,6 +5,10 @@ slots' tokens and the sources' shares tell when a slot is due, and so the bucket
 source) tell each bucket where in the packed stream it begins and which deficits its queues carry in. A bucket then serves its
 queues and gives every document its place in the stream; a window is the stream's next ``width`` tokens. So windows and deficits
 run on over buckets, and only the very last window of all is padded.
+
+The prefix sums over slots are one task a source, those over buckets one task in all: with ``BUCKET_ROWS`` rows a bucket and ``SLOTS`` slots, a
+billion documents make 50,000 buckets and 800,000 slots, rows of some bytes. The table of sources is broadcast; sources name
+collections, and one row of them is some tens of bytes.
 """
 
 from __future__ import annotations

@@ -101,7 +101,16 @@ def fit(
     m = len(kept)
     w, v, w0 = np.zeros(m), rng.normal(0, 0.02, (m, factors)), model.w0
     gw, gv, g0 = np.full(m, 1e-6), np.full((m, factors), 1e-5), 1e-6
-    held_ids, held_owner = flat(held)
+
+    def held_loss() -> float:
+        # Slice by slice, so that the driver never holds the factors of all held-back terms at once.
+        total = 0.0
+        for at in range(0, len(held), batch):
+            part = held[at : at + batch]
+            z, _ = _margins(w0, w, v, *flat(part), len(part))
+            total += float((weight[part] * np.logaddexp(0, np.where(y[part] > 0, -z, z))).sum())
+        return total / len(held)
+
     best, since = (np.inf, w0, w, v), 0
     frozen = False
     for step in range(1, 2 * steps + 1):
@@ -123,8 +132,7 @@ def fit(
             v = _shrunk(v - pace_v * dv, np.where(seen, l1_factors * pace_v.mean(axis=1), 0) if factors else np.zeros(m))
         w0 -= 0.3 * rate * g.sum() / np.sqrt(g0)
         if step % 50 == 0:
-            z, _ = _margins(w0, w, v, held_ids, held_owner, len(held))
-            loss = float((weight[held] * np.logaddexp(0, np.where(y[held] > 0, -z, z))).mean())
+            loss = held_loss()
             best, since = ((loss, w0, w.copy(), v.copy()), 0) if loss < best[0] - 1e-5 else (best, since + 1)
             if frozen and since >= patience:
                 break
@@ -166,7 +174,10 @@ def train(docs: DataFrame, truth: DataFrame, label_col: str = "toxic", id_col: s
         .select("_y", "_t")
         .collect()
     )
-    return fit([np.frombuffer(r["_t"], dtype="<i4") for r in found], np.array([r["_y"] for r in found], dtype=float))
+    y = np.array([r["_y"] for r in found], dtype=float)
+    terms_of = [np.frombuffer(r["_t"], dtype="<i4") for r in found]
+    del found
+    return fit(terms_of, y)
 
 
 def scored(docs: DataFrame, model: FactorizationMachine, text_col: str = "text") -> Column:

@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 import pytest
@@ -48,3 +49,33 @@ def test_targets_are_met_and_reruns_agree(docs):
     assert sorted(mix(docs(rows[::-1])).collect()) == sorted(first)
     small, large = ({r.doc_id for r in mix(docs(rows), share=x).collect() if r.copies} for x in (0.3, 0.6))
     assert small <= large
+
+
+def thresholds_by_hand(rows, share=1.5):
+    """Copies of each document, source by source: whole copies, then those whose hash lies below the budget's, the boundary one if that comes nearer."""
+    sizes = {}
+    for i, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len((t or "").split())
+    want = targets(sizes)
+    out = {}
+    for s in sizes:
+        own = sorted((int(hashlib.md5(str(i).encode()).hexdigest()[:16], 16), i, len((t or "").split())) for i, t, x in rows if x == s)
+        whole = int(want[s] // max(sizes[s], 1))
+        left, done = want[s] - whole * sizes[s], False
+        for _, i, n in own:
+            more = not done and (n <= left or left * 2 >= n)
+            if n > left:
+                done = True
+            left -= n
+            out[i] = whole + more
+    return out
+
+
+def test_against_brute_force(docs):
+    rows = [(i, "word " * (1 + i * 7 % 40), f"s{i % 4 if i % 3 else 0}") for i in range(400)]
+    assert {r.doc_id: r.copies for r in mix(docs(rows)).collect()} == thresholds_by_hand(rows)
+
+
+def test_null_ids(docs):
+    out = mix(docs([(None, "a b", "s"), (None, "c", None), (5, "d e f", "s")])).collect()
+    assert sorted((r.doc_id is None, r.size) for r in out) == [(False, 3), (True, 1), (True, 2)]

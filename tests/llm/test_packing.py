@@ -74,3 +74,8 @@ def test_given_weights_and_carried_deficits(docs):
     check(out, {i: [t] for i, t, _ in rows})
     first = [r for r in out if r.sequence_id == 1]
     assert abs(sum(r.length for r in first if r.source == "a") / 4096 - 0.75) < 0.1
+
+
+def test_null_ids(docs):
+    out = pack(docs([(None, "a b", "s"), (None, None, None), (5, "c", "s")])).collect()
+    assert sorted((r.doc_id is None, r.doc_tokens > 1) for r in out) == [(False, True), (True, False), (True, True)]

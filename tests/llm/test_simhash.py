@@ -130,3 +130,8 @@ def test_bit_sets_reach_their_recall():
         apart = sum(1 << b for b in r.sample(range(64), 10))
         found += any(not m & apart for m in masks)
     assert found >= 0.93 * 2000
+
+
+def test_null_ids(docs):
+    out = simhash_dedup(docs([(None, "a b c d", "s"), (4, "a b c d", "s"), (None, "other words here now", "s")])).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in out) == [(0, 0), (0, 4), (4, 4)]
