@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import documents, materialize, slot_map, small_batches
+from marlstone.llm.common import discard, documents, materialize, slot_map, small_batches
 from marlstone.llm.components import connected_components
 
 WINDOW = 25
@@ -35,6 +35,8 @@ RECALL = 0.995
 #: Bits of the map of repeated keys that executors get: 16 MB, whatever the corpus holds. A fuller map lets more units through
 #: to verification; results don't depend on it.
 MAP_BITS = 27
+#: Repeated keys for each bit of the map below which two bits a key let fewer others through than one: the log of the golden ratio.
+TWO_PROBES = 0.48
 #: Distinct paragraphs of a band bucket that one task compares; larger buckets are compared block against block.
 BLOCK = 1000
 PIECE = 4096
@@ -187,8 +189,21 @@ def similar(a: frozenset, b: frozenset, least: float) -> bool:
     return both >= least * (len(a) + len(b) - both) - 1e-9
 
 
-def repeated_keys(docs: DataFrame, text_col: str, sketcher: Sketcher) -> np.ndarray:
-    """A bit for each slot of keys that several rows hold; the driver gets at most ``2 ** (MAP_BITS - 3)`` bytes."""
+def slots(keys: np.ndarray, probes: int) -> list[np.ndarray]:
+    """The bits of the map that stand for each key: its highest bits, then the next ones."""
+    return [keys << np.uint64(i * MAP_BITS) >> np.uint64(64 - MAP_BITS) for i in range(probes)]
+
+
+def marked(shared: np.ndarray, keys: np.ndarray, probes: int) -> np.ndarray:
+    """Which keys have all their bits set: every repeated one, and few others."""
+    found = np.ones(keys.shape, dtype=bool)
+    for slot in slots(keys, probes):
+        found &= (shared[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+    return found
+
+
+def repeated_keys(docs: DataFrame, text_col: str, sketcher: Sketcher) -> tuple[np.ndarray, int]:
+    """Bits for the keys that several rows hold, and how many for each; the driver gets at most ``2 ** (MAP_BITS - 3)`` bytes."""
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -199,7 +214,12 @@ def repeated_keys(docs: DataFrame, text_col: str, sketcher: Sketcher) -> np.ndar
             yield pd.DataFrame({"key": np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)})
 
     counted = docs.select(F.col(text_col).alias("text")).mapInPandas(keys, "key long").groupBy("key").count().where("count > 1")
-    return slot_map(counted.select(F.shiftrightunsigned("key", 64 - MAP_BITS).alias("s")), MAP_BITS)
+    repeated = materialize(counted.select("key"), "repeated")
+    probes = 2 if repeated.count() < TWO_PROBES * 2**MAP_BITS else 1
+    bits = [F.shiftrightunsigned(F.shiftleft("key", i * MAP_BITS), 64 - MAP_BITS) for i in range(probes)]
+    found = slot_map(repeated.select(F.explode(F.array(*bits)).alias("s")), MAP_BITS)
+    discard(repeated)
+    return found, probes
 
 
 UNITS = "id long, sig long, kind int, start int, n int, d1 long, d2 long, text string, keys array<long>"
@@ -210,11 +230,12 @@ def units(docs: DataFrame, id_col: str, text_col: str, sketcher: Sketcher) -> Da
 
     ``d1, d2``: 128-bit digest of a unit's words, seeded by its kind. Only lines carry ``text`` and ``keys``.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(repeated_keys(docs, text_col, sketcher))
+    found, probes = repeated_keys(docs, text_col, sketcher)
+    shared = docs.sparkSession.sparkContext.broadcast(found)
+    del found
 
     def hits(keys: np.ndarray) -> np.ndarray:
-        slot = keys >> np.uint64(64 - MAP_BITS)
-        return (shared.value[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+        return marked(shared.value, keys, probes)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -242,10 +263,19 @@ def units(docs: DataFrame, id_col: str, text_col: str, sketcher: Sketcher) -> Da
     return materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(emit, UNITS), "units")
 
 
+def buckets(rows: DataFrame) -> DataFrame:
+    """``key, count`` of the band buckets (``rows``: ``node, key``) to compare: those of several lines, of those with equal lines one.
+
+    Near copies share most of their bands. Buckets are told apart by their size and 128 bits of their lines' numbers.
+    """
+    members = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"m{i}") for i in range(2)]
+    return rows.groupBy("key").agg(F.count("*").alias("count"), *members).where("count > 1").groupBy("count", "m0", "m1").agg(F.min("key").alias("key")).select("key", "count")
+
+
 def line_links(classes: DataFrame, similarity: float, shingle: int, block: int = BLOCK) -> DataFrame:
     """``classes``: ``node, text, keys`` of distinct lines. Links ``a, b`` that connect them as all verified pairs of a band do."""
     rows = classes.select("node", F.explode("keys").alias("key"))
-    sizes = rows.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / block).cast("int").alias("g"))
+    sizes = buckets(rows).select("key", F.ceil(F.col("count") / block).cast("int").alias("g"))
     own = F.pmod(F.xxhash64("node"), F.col("g")).cast("int")
     # Texts move only for keys that several distinct lines hold.
     live = rows.join(sizes, "key").groupBy("node").agg(F.collect_list(F.struct("key", "g")).alias("live"))
@@ -258,10 +288,8 @@ def line_links(classes: DataFrame, similarity: float, shingle: int, block: int =
         .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "text")
     )
 
-    def compare(group: pd.DataFrame) -> list[tuple[int, int]]:
-        nodes, own = group["node"].tolist(), group["own"].tolist()
-        cross = int(group["lo"].iloc[0]) != int(group["hi"].iloc[0])
-        sets = [shingle_set(t, shingle) for t in group["text"]]
+    def compare(nodes: list[int], own: list[int], texts: list[str], cross: bool) -> list[tuple[int, int]]:
+        sets = [shingle_set(t, shingle) for t in texts]
         root, found = list(range(len(nodes))), []
 
         def find(i: int) -> int:
@@ -284,13 +312,19 @@ def line_links(classes: DataFrame, similarity: float, shingle: int, block: int =
             now = b if held is None else pd.concat([held, b], ignore_index=True)
             group = now[["key", "lo", "hi"]].to_numpy()
             starts = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(axis=1)]).tolist()
-            out: list[tuple[int, int]] = []
-            for a, z in zip(starts, starts[1:], strict=False):
-                out += compare(now.iloc[a:z]) if z - a > 1 else []
+            yield from flush(now, starts)
             held = now.iloc[starts[-1] :]
-            if out:
-                yield pd.DataFrame(out, columns=["a", "b"])
-        if held is not None and len(held) > 1 and (out := compare(held)):
+        if held is not None:
+            yield from flush(held, [0, len(held)])
+
+    def flush(rows: pd.DataFrame, starts: list[int]) -> Iterator[pd.DataFrame]:
+        """Links of the groups that lie between ``starts``."""
+        nodes, own, texts = (rows[c].tolist() for c in ("node", "own", "text"))
+        cross = (rows["lo"] != rows["hi"]).tolist()
+        out: list[tuple[int, int]] = []
+        for a, z in zip(starts, starts[1:], strict=False):
+            out += compare(nodes[a:z], own[a:z], texts[a:z], cross[a]) if z - a > 1 else []
+        if out:
             yield pd.DataFrame(out, columns=["a", "b"])
 
     return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInPandas(links, "a long, b long")

@@ -1,6 +1,8 @@
 import random
 
-from marlstone.llm.substring_dedup import Sketcher, line_links, op1_substring_dedup, shingle_set, similar, substring_dedup, tune_bands
+import numpy as np
+
+from marlstone.llm.substring_dedup import MAP_BITS, Sketcher, buckets, line_links, marked, op1_substring_dedup, repeated_keys, shingle_set, similar, slots, substring_dedup, tune_bands
 
 SPAN = 49  # every shared run of 2 * WINDOW - 1 words has a window in common
 
@@ -106,3 +108,31 @@ def test_query_sketches_short_and_wrapped_paragraphs(spark, docs, tmp_path):
     out = {x.doc_id: x for x in op1_substring_dedup(spark, str(tmp_path)).collect()}
     assert [out[i].component_id for i in range(9)] == [0, 0, 2, 2, 4, 4, 6, 7, 8]
     assert [out[i].removed_spans for i in range(9)] == ["", "40:52", "", "40:100", "", "0:5", "", "", ""]
+
+
+def test_equal_buckets_are_compared_once(spark):
+    """Eleven bands that hold the same lines are one bucket; a band with one line more is another."""
+    rows = [(i, k) for i in (3, 5, 9) for k in range(11)] + [(i, k) for i in (3, 5, 9, 12) for k in (20, -21)] + [(3, 30), (5, 31)]
+    got = {(x.key, x["count"]) for x in buckets(spark.createDataFrame(rows, "node long, key long")).collect()}
+    assert got == {(0, 3), (-21, 4)}
+
+
+def test_map_lets_few_other_keys_through(spark):
+    """All keys of the map pass; of others far less than the share of its bits that are set."""
+    keys = np.random.default_rng(3).integers(0, 2**64, 3_000_000, dtype=np.uint64)
+    held, others = keys[:2_000_000], keys[2_000_000:]
+    shared = np.zeros(1 << (MAP_BITS - 6), dtype=np.uint64)
+    for slot in slots(held, 2):
+        np.bitwise_or.at(shared, slot >> np.uint64(6), np.uint64(1) << (slot & np.uint64(63)))
+    assert marked(shared, held, 2).all() and marked(shared, others, 2).mean() < 0.002
+    assert marked(shared, others, 1).mean() > 0.01
+
+
+def test_map_of_repeated_keys(docs):
+    """What Spark sets is what is looked up: keys of two rows pass, keys of one don't."""
+    r = random.Random(9)
+    lines = [" ".join(prose(r, 30)) for _ in range(40)]
+    sketcher = Sketcher()
+    shared, probes = repeated_keys(docs([(i, lines[i // 2] if i < 20 else lines[i], "s") for i in range(40)]), "text", sketcher)
+    keys = [np.concatenate([x.window_keys, x.line_keys.ravel()]) for x in map(sketcher.sketch, lines)]
+    assert probes == 2 and all(marked(shared, k, probes).all() for k in keys[:10]) and not any(marked(shared, k, probes).any() for k in keys[20:])
