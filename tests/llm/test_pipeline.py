@@ -107,3 +107,11 @@ def test_edges(spark, docs, edge_rows, tmp_path):
         for name, stage in corpus_pipeline.STAGES:
             now = materialize(stage(spark, now, str(tmp_path)), name)
         assert bool(now.count()) == bool(rows)
+
+
+def test_no_labels_reject_nothing(spark, docs, tmp_path):
+    """Labels of no class or of one teach no term, so the toxicity stage keeps every row."""
+    now = docs([(i, f"text number {i}", "a") for i in range(9)] + [(None, None, None)])
+    for name, rows in (("none", []), ("one", [(i, 1, 1) for i in range(9)])):
+        spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        assert corpus_pipeline.toxicity_stage(spark, now, f"{tmp_path}/{name}").count() == 10
