@@ -13,11 +13,12 @@ passage.
 
 from __future__ import annotations
 
-import struct
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -43,6 +44,7 @@ PIECE = 4096
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
+_HIGH, _LOW = np.uint64(31), np.uint64(29)
 
 
 def tune_bands(similarity: float = SIMILARITY, recall: float = RECALL, most_hashes: int = 64) -> tuple[int, int]:
@@ -58,8 +60,12 @@ def tune_bands(similarity: float = SIMILARITY, recall: float = RECALL, most_hash
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _Q
-    return x ^ (x >> np.uint64(29))
+    y = x >> _HIGH
+    y ^= x
+    y *= _Q
+    x = y >> _LOW
+    x ^= y
+    return x
 
 
 @lru_cache
@@ -128,10 +134,10 @@ class Sketcher:
             return Sketch(words, none.astype(np.int64), none, lines, self.line_keys(h, lines))
         starts = self.anchors(h)
         at = starts[:, None] + np.arange(self.window)
-        keys = _mix((h[at] * self.powers[: self.window]).sum(axis=1, dtype=np.uint64))
+        keys = _mix(h[at] @ self.powers[: self.window])
         # A run of one repeated word has an anchor at each word; windows that say the same may step over each other.
         keep, last = np.ones(len(starts), dtype=bool), {}
-        if len(np.unique(keys)) < len(keys):
+        if len(set(keys.tolist())) < len(keys):
             for i, (s, key) in enumerate(zip(starts.tolist(), keys.tolist(), strict=True)):
                 keep[i] = s - last.get(key, -self.window) >= self.window
                 if keep[i]:
@@ -151,23 +157,19 @@ class Sketcher:
         if not lines:
             return np.zeros((0, self.bands), dtype=np.uint64)
         grams = _grams(h, self.shingle)
-        least = np.empty((len(lines), len(self.a)), dtype=np.uint64)
-        at = 0
-        while at < len(lines):
-            # Some lines at once, about ``PIECE`` shingles; a longer line alone, piece by piece.
-            end, total = at, 0
-            while end < len(lines) and (end == at or total + lines[end][1] <= PIECE):
-                total += lines[end][1]
-                end += 1
-            own = [grams[s : s + n - self.shingle + 1] for s, n in lines[at:end]]
-            if end == at + 1:
-                least[at] = np.minimum.reduce([self.hashes(own[0][i : i + PIECE]).min(axis=0) for i in range(0, len(own[0]), PIECE)])
-            else:
-                begins = np.cumsum([0, *[len(x) for x in own[:-1]]])
-                least[at:end] = np.minimum.reduceat(self.hashes(np.concatenate(own)), begins, axis=0)
-            at = end
+        first = np.array([s for s, _ in lines])
+        end = first + np.array([n for _, n in lines]) - self.shingle + 1
+        # Blocks hold lines, so the shingles between any two bounds are hashed once and each paragraph takes the least of its parts.
+        cuts = np.unique(np.concatenate([first, end, np.arange(0, len(grams), PIECE)]))
+        cuts = cuts[cuts < len(grams)]
+        parts = np.empty((len(cuts) + 1, len(self.a)), dtype=np.uint64)
+        parts[-1] = 0
+        for i in range(0, len(grams), PIECE):
+            lo, hi = np.searchsorted(cuts, (i, i + PIECE))
+            np.minimum.reduceat(self.hashes(grams[i : i + PIECE]), cuts[lo:hi] - i, axis=0, out=parts[lo:hi])
+        least = np.minimum.reduceat(parts, np.searchsorted(cuts, np.stack([first, end], axis=1).ravel()), axis=0)[::2]
         salt = np.arange(self.bands, dtype=np.uint64) * _Q
-        return _mix((least.reshape(-1, self.bands, self.rows) * self.powers[: self.rows]).sum(axis=2, dtype=np.uint64) + salt)
+        return _mix(least.reshape(-1, self.bands, self.rows) @ self.powers[: self.rows] + salt)
 
     def hashes(self, grams: np.ndarray) -> np.ndarray:
         out = grams[:, None] * self.a
@@ -180,6 +182,13 @@ def shingle_set(text: str, shingle: int = SHINGLE) -> frozenset[tuple[str, ...]]
     return frozenset(tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1))
 
 
+def shingle_numbers(texts: list[str], shingle: int = SHINGLE) -> list[frozenset[int]]:
+    """``shingle_set`` of each text with a number for each distinct shingle: sets of numbers are compared without looking at words."""
+    name = defaultdict(count().__next__).__getitem__
+    words = (t.split(" ") for t in texts)
+    return [frozenset(map(name, zip(*(w[k:] for k in range(shingle)), strict=False))) for w in words]
+
+
 def similar(a: frozenset, b: frozenset, least: float) -> bool:
     """Exact Jaccard similarity of at least ``least``; sizes alone often settle it."""
     small, large = sorted((len(a), len(b)))
@@ -202,18 +211,37 @@ def marked(shared: np.ndarray, keys: np.ndarray, probes: int) -> np.ndarray:
     return found
 
 
-def repeated_keys(docs: DataFrame, text_col: str, sketcher: Sketcher) -> tuple[np.ndarray, int]:
-    """Bits for the keys that several rows hold, and how many for each; the driver gets at most ``2 ** (MAP_BITS - 3)`` bytes."""
+SKETCHES = "id long, sig long, n long, text string, starts binary, windows binary, lines binary, bands binary"
 
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, sketcher: Sketcher) -> DataFrame:
+    """A row for each document with its text and sketch, kept as a table so that both passes read what was computed once.
+
+    ``starts, windows``: windows' starts and keys. ``lines, bands``: start and words of each line, and its row of band keys.
+    """
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for t in b["text"]:
+            out: list[tuple] = []
+            for i, t in zip(b["id"], b["text"], strict=True):
                 s = sketcher.sketch(t)
-                out.append(np.unique(np.concatenate([s.window_keys, s.line_keys.ravel()])))
-            yield pd.DataFrame({"key": np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)})
+                sig = int(np.uint64(xxhash.xxh64_intdigest((t or "").encode("utf-8", "replace"))).view(np.int64))
+                parts = (s.windows.astype(np.int32), s.window_keys, np.array(s.lines, dtype=np.int32), s.line_keys)
+                out.append((None if pd.isna(i) else int(i), sig, len(s.words), t, *(x.tobytes() for x in parts)))
+            yield pd.DataFrame(out, columns=["id", "sig", "n", "text", "starts", "windows", "lines", "bands"]).astype({"id": "Int64"})
+
+    return materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(emit, SKETCHES), "sketches")
+
 
-    counted = docs.select(F.col(text_col).alias("text")).mapInPandas(keys, "key long").groupBy("key").count().where("count > 1")
+def repeated_map(table: DataFrame) -> tuple[np.ndarray, int]:
+    """Bits for the keys that several rows of ``sketches`` hold, and how many for each; the driver gets at most ``2 ** (MAP_BITS - 3)`` bytes."""
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [np.unique(np.frombuffer(w + k, dtype=np.int64)) for w, k in zip(b["windows"], b["bands"], strict=True)]
+            yield pd.DataFrame({"key": np.concatenate(out) if out else np.zeros(0, np.int64)})
+
+    counted = table.select("windows", "bands").mapInPandas(keys, "key long").groupBy("key").count().where("count > 1")
     repeated = materialize(counted.select("key"), "repeated")
     probes = 2 if repeated.count() < TWO_PROBES * 2**MAP_BITS else 1
     bits = [F.shiftrightunsigned(F.shiftleft("key", i * MAP_BITS), 64 - MAP_BITS) for i in range(probes)]
@@ -222,6 +250,14 @@ def repeated_keys(docs: DataFrame, text_col: str, sketcher: Sketcher) -> tuple[n
     return found, probes
 
 
+def repeated_keys(docs: DataFrame, text_col: str, sketcher: Sketcher) -> tuple[np.ndarray, int]:
+    """``repeated_map`` of texts."""
+    table = sketches(docs.select(F.lit(None).alias("id"), text_col), "id", text_col, sketcher)
+    found = repeated_map(table)
+    discard(table)
+    return found
+
+
 UNITS = "id long, sig long, kind int, start int, n int, d1 long, d2 long, text string, keys array<long>"
 
 
@@ -230,37 +266,54 @@ def units(docs: DataFrame, id_col: str, text_col: str, sketcher: Sketcher) -> Da
 
     ``d1, d2``: 128-bit digest of a unit's words, seeded by its kind. Only lines carry ``text`` and ``keys``.
     """
-    found, probes = repeated_keys(docs, text_col, sketcher)
+    table = sketches(docs, id_col, text_col, sketcher)
+    found, probes = repeated_map(table)
     shared = docs.sparkSession.sparkContext.broadcast(found)
     del found
 
-    def hits(keys: np.ndarray) -> np.ndarray:
-        return marked(shared.value, keys, probes)
+    def column(values: pd.Series, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all rows, and the row of each."""
+        sizes = values.map(len).to_numpy(dtype=np.int64) // np.dtype(dtype).itemsize
+        return np.frombuffer(b"".join(values), dtype=dtype), np.repeat(np.arange(len(values)), sizes)
+
+    def rows(b: pd.DataFrame, at: np.ndarray, kind: int, start: np.ndarray, n: np.ndarray, digests: list[bytes], text: list | None, keys: list | None) -> pd.DataFrame:
+        d = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+        own = b[["id", "sig"]].iloc[at].reset_index(drop=True)
+        return own.assign(kind=kind, start=start, n=n, d1=d[:, 0], d2=d[:, 1], text=text, keys=keys)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out: list[tuple] = []
-            for i, t in zip(b["id"], b["text"], strict=True):
-                i = None if pd.isna(i) else int(i)
-                s = sketcher.sketch(t)
-                sig = int(np.uint64(xxhash.xxh64_intdigest((t or "").encode("utf-8", "replace"))).view(np.int64))
-                out.append((i, sig, 0, 0, len(s.words), None, None, None, None))
-                if i is None:
+            yield b[["id", "sig"]].assign(kind=0, start=0, n=b["n"], d1=None, d2=None, text=None, keys=None)
+            b = b[b["id"].notna()].reset_index(drop=True).astype({"id": "int64"})
+            starts, row = column(b["starts"], np.int32)
+            hit = marked(shared.value, column(b["windows"], np.uint64)[0], probes)
+            starts, row = starts[hit], row[hit]
+            lines, line_row = column(b["lines"], np.int64)
+            lines = lines.view(np.int32).reshape(-1, 2)
+            bands = column(b["bands"], np.uint64)[0].reshape(-1, sketcher.bands)
+            marks = marked(shared.value, bands, probes)
+            hit = marks.any(axis=1)
+            lines, line_row, bands, marks = lines[hit], line_row[hit], bands[hit].view(np.int64), marks[hit]
+            of_row, texts = [np.searchsorted(x, np.arange(len(b) + 1)).tolist() for x in (row, line_row)], b["text"].tolist()
+            places, spans = starts.tolist(), lines.tolist()
+            window_digests, line_digests, line_texts = [], [], []
+            for i, t in enumerate(texts):
+                (w, w_end), (k, k_end) = ((x[i], x[i + 1]) for x in of_row)
+                if w == w_end and k == k_end:
                     continue
-                own = hits(s.window_keys)
-                for start in s.windows[own].tolist():
-                    words = b" ".join(s.words[start : start + sketcher.window])
-                    out.append((i, sig, 1, start, sketcher.window, *struct.unpack("<qq", xxhash.xxh3_128_digest(words, 1)), None, None))
-                marks = hits(s.line_keys)
-                for row in np.flatnonzero(marks.any(axis=1)).tolist():
-                    start, n = s.lines[row]
-                    keys = s.line_keys[row][marks[row]].view(np.int64).tolist()
-                    words = b" ".join(s.words[start : start + n])
-                    out.append((i, sig, 2, start, n, *struct.unpack("<qq", xxhash.xxh3_128_digest(words, 2)), words.decode(), keys))
-            made = pd.DataFrame(out, columns=["id", "sig", "kind", "start", "n", "d1", "d2", "text", "keys"])
-            yield made.astype({"id": "Int64", "d1": "Int64", "d2": "Int64"})
-
-    return materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(emit, UNITS), "units")
+                words = t.encode("utf-8", "replace").lower().split()
+                window_digests += [xxhash.xxh3_128_digest(b" ".join(words[s : s + sketcher.window]), 1) for s in places[w:w_end]]
+                joined = [b" ".join(words[s : s + n]) for s, n in spans[k:k_end]]
+                line_digests += [xxhash.xxh3_128_digest(x, 2) for x in joined]
+                line_texts += [x.decode() for x in joined]
+            if len(row):
+                yield rows(b, row, 1, starts, sketcher.window, window_digests, None, None)
+            if len(line_row):
+                yield rows(b, line_row, 2, lines[:, 0], lines[:, 1], line_digests, line_texts, [k[m] for k, m in zip(bands, marks, strict=True)])
+
+    out = materialize(table.mapInPandas(emit, UNITS), "units")
+    discard(table)
+    return out
 
 
 def buckets(rows: DataFrame) -> DataFrame:
@@ -289,7 +342,7 @@ def line_links(classes: DataFrame, similarity: float, shingle: int, block: int =
     )
 
     def compare(nodes: list[int], own: list[int], texts: list[str], cross: bool) -> list[tuple[int, int]]:
-        sets = [shingle_set(t, shingle) for t in texts]
+        sets = shingle_numbers(texts, shingle)
         root, found = list(range(len(nodes))), []
 
         def find(i: int) -> int:

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from marlstone.llm.substring_dedup import MAP_BITS, Sketcher, buckets, line_links, marked, op1_substring_dedup, repeated_keys, shingle_set, similar, slots, substring_dedup, tune_bands
+from marlstone.llm.substring_dedup import MAP_BITS, Sketcher, buckets, line_links, marked, op1_substring_dedup, repeated_keys, shingle_numbers, shingle_set, similar, slots, substring_dedup, tune_bands, units
 
 SPAN = 49  # every shared run of 2 * WINDOW - 1 words has a window in common
 
@@ -136,3 +136,49 @@ def test_map_of_repeated_keys(docs):
     shared, probes = repeated_keys(docs([(i, lines[i // 2] if i < 20 else lines[i], "s") for i in range(40)]), "text", sketcher)
     keys = [np.concatenate([x.window_keys, x.line_keys.ravel()]) for x in map(sketcher.sketch, lines)]
     assert probes == 2 and all(marked(shared, k, probes).all() for k in keys[:10]) and not any(marked(shared, k, probes).any() for k in keys[20:])
+
+
+def test_texts_are_sketched_once(docs, tmp_path):
+    """Both passes read one table of sketches: each text goes through the sketcher once."""
+    calls = f"{tmp_path}/calls"
+
+    class Own(Sketcher):
+        def sketch(self, text):
+            with open(calls, "ab", buffering=0) as f:
+                f.write(b".")
+            return Sketcher.sketch(self, text)
+
+    r = random.Random(10)
+    lines = [" ".join(prose(r, 60)) for _ in range(20)]
+    table = units(docs([(i, lines[i // 2], "s") for i in range(40)]), "doc_id", "text", Own())
+    assert {(x.kind, x.id) for x in table.collect()} >= {(k, i) for k in (0, 1, 2) for i in range(40)}
+    assert len((tmp_path / "calls").read_bytes()) == 40
+
+
+def test_shingles_of_nested_paragraphs_are_hashed_once():
+    """A block's keys come from its lines' parts; they equal those of each paragraph alone."""
+    r = random.Random(11)
+    lines = [" ".join(prose(r, n)) for n in (7, 30, 4, 5, 50, 6000, 3, 9)]
+    text = "\n".join(lines[:3]) + "\n\n" + "\n".join(lines[3:])
+    hashed = []
+
+    class Own(Sketcher):
+        def hashes(self, grams):
+            hashed.append(len(grams))
+            return super().hashes(grams)
+
+    s = Own(least=5).sketch(text)
+    assert sum(hashed) <= len(s.words) and len(s.lines) == 8
+    for (start, n), keys in zip(s.lines, s.line_keys, strict=True):
+        alone = Sketcher(least=5).sketch(b" ".join(s.words[start : start + n]).decode())
+        assert alone.lines == [(0, n)] and (alone.line_keys[0] == keys).all()
+
+
+def test_numbers_stand_for_shingles():
+    """Sizes and common shingles are those of the sets of words, for texts short and long, with repeats and of other white space."""
+    r = random.Random(12)
+    texts = ["", "a b c d", "a b c d e", "a a a a a a a", "a b c d\xa0e f g", *(" ".join(r.choices("abc", k=r.randint(1, 60))) for _ in range(30))]
+    for shingle in (1, 2, 5):
+        sets, numbers = [shingle_set(t, shingle) for t in texts], shingle_numbers(texts, shingle)
+        assert [len(x) for x in numbers] == [len(x) for x in sets]
+        assert all(len(numbers[i] & numbers[j]) == len(sets[i] & sets[j]) for i in range(len(texts)) for j in range(i))
