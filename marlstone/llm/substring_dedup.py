@@ -5,10 +5,10 @@ five-word shingles, and windows of ``WINDOW`` words that begin at winnowed ancho
 a row), whose one band is all of their words. The registered query sketches every paragraph that holds a shingle. Both ends of a
 passage that two documents share sit anywhere in a line, and every shared run of ``2 * WINDOW - 1`` words has a window in common.
 
-First pass: only 64-bit band keys are counted. Second pass: only units with a key of several documents are kept, each with the
-128-bit digest of its words; lines keep their words too. Units are verified (windows: equal digests of all their words; lines: exact
-Jaccard similarity), linked, and clustered by connected components; of each cluster the document with the smallest id keeps its
-passage.
+Each text is sketched once, into a table. First pass: only 64-bit band keys are counted. Second pass: only units with a key of
+several documents are kept, each with the 128-bit digest of its words; lines keep their words too. Units are verified (windows:
+equal digests of all their words; lines: exact Jaccard similarity), linked, and clustered by connected components; of each cluster
+the document with the smallest id keeps its passage.
 """
 
 from __future__ import annotations
