@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from marlstone.operators import graph
+from marlstone.operators import graph, memory
 from tests.test_rules import beam_by_hand
 
 
@@ -26,3 +26,23 @@ def test_a_beam_looks_at_no_more_of_a_hub_than_it_can_accept(spark):
             got[row.query_id].add(row.entity_id)
         graph.BROADCAST_NODES = kept
         assert got == {q: beam_by_hand(edges, own, 6, 3, 14, nodes) for q, own in asked.items()}
+
+
+def test_reconcile_makes_no_rows_of_pairs(spark):
+    """Two kinds over several blocks, equal matches, rows that share a title word with a body alone; no join or exchange of pairs in the plan."""
+    r = random.Random(4)
+    text = lambda n: " ".join(r.choice("abcdefghij") for _ in range(n))
+    kind = "id string, kind string, title string, body string, links array<string>"
+    one = [(f"a{i:02d}", r.choice(["fact", "error"]), text(3), text(6), [r.choice("xy")] if i % 5 == 0 else []) for i in range(40)]
+    two = [(f"c{i}", r.choice(["fact", "error", "decision"]), text(r.randrange(4)), text(r.randrange(1, 7)), [r.choice("xyz")] if i % 7 == 0 else None) for i in range(30)]
+    memory.BLOCK_ROWS, memory.GROUP_BLOCKS, kept = 7, 2, (memory.BLOCK_ROWS, memory.GROUP_BLOCKS)
+    out = memory.reconcile(spark.createDataFrame(two, kind), spark.createDataFrame(one, kind))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    got = {x.cand_id: (x.action, x.match) for x in out.collect()}
+    memory.BLOCK_ROWS, memory.GROUP_BLOCKS = kept
+    assert "Generate" not in plan and plan.count("Join") == 1
+    like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if set(a) | set(b) else 0.0
+    for i, k, t, b, links in two:
+        s, match, x, y, link = max(((like(t.split(), t2.split()) + like(b.split(), b2.split()) + (0.35 if set(links or []) & set(l2) else 0.0), j, like(t.split(), t2.split()), like(b.split(), b2.split()), bool(set(links or []) & set(l2))) for j, k2, t2, b2, l2 in one if k2 == k), default=(0, None, 0, 0, False))
+        action = "add" if s == 0 else "skip" if y >= 0.55 or (x >= 0.7 and y >= 0.3) else "supersede" if x >= 0.35 or link else "add"
+        assert got[i] == (action, match if action != "add" else None)
