@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import normalize_path, path_matches
+from marlstone.functions.text import normalize_path
 
 # What counts as a citation and as a claimed relation.
 SUFFIXES = ("py", "js", "ts", "tsx", "jsx", "go", "rs", "java", "rb", "md")
@@ -37,8 +37,10 @@ def _key(name: Column) -> Column:
     return F.lower(F.element_at(F.split(F.trim(name), r"\."), -1))
 
 
-def _last(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+def _tails(path: Column) -> Column:
+    """The path, and what follows each of its slashes."""
+    pieces = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.array_join(F.slice(pieces, i, F.size(pieces)), "/"))
 
 
 def resolve_names(wanted: DataFrame, records: DataFrame) -> DataFrame:
@@ -53,6 +55,30 @@ def resolve_names(wanted: DataFrame, records: DataFrame) -> DataFrame:
     return direct.unionByName(names.join(direct.select("name").distinct(), "name", "left_anti").join(tails, "name")).distinct()
 
 
+def borne_out(wanted: DataFrame, have: DataFrame) -> DataFrame:
+    """The distinct ``path, symbol`` of ``wanted`` that a row of ``have`` (``id, name, _have``) bears out; see ``validity_flags``.
+
+    Both sides are keyed by path and by what the symbol has to equal, and each key is kept once, so that a file of many names, or a name of many files, makes
+    no pairs. Paths match where the one is among the other's tails. The last part of a name says all of a match by name: names that are equal, or end in a
+    stop and the symbol, have it in common.
+    """
+    symbol, mark = F.col("symbol"), lambda kind, x: F.concat(F.lit(kind), x)
+    asked = F.when(symbol == "", F.array(F.lit("p"))).otherwise(F.array(mark("n", _key(symbol)), mark("i", symbol), mark("c", F.concat(F.col("path"), F.lit(":"), symbol))))
+    want = wanted.select("path", "symbol", F.explode(asked).alias("_m"))
+    pieces = F.split("id", ":")
+    last = F.when(F.size(pieces) > 1, mark("i", F.element_at(pieces, -1)))
+    own = have.select("_have", F.explode(F.array_compact(F.array(F.lit("p"), mark("n", _key(F.col("name"))), last))).alias("_m"))
+    # An id that holds ":path:" and something that begins with the symbol: only where such a path is cited, and only to a cited length.
+    inner = have.where(F.size(pieces) > 2).select("_have", F.posexplode(pieces).alias("_i", "path"), pieces.alias("_p")).where((F.col("_i") > 0) & (F.col("_i") < F.size("_p") - 1))
+    inner = inner.select("_have", "path", F.get("_p", F.col("_i") + 1).alias("_s")).distinct()
+    lengths = wanted.where("symbol <> ''").groupBy("path").agg(F.collect_set(F.length("symbol")).alias("_n"))
+    begun = inner.join(lengths, "path").select("_have", "path", "_s", F.explode("_n").alias("_n")).where("_n <= length(_s)")
+    own = own.unionByName(begun.select("_have", mark("c", F.concat(F.col("path"), F.lit(":"), F.substring("_s", F.lit(1), F.col("_n")))).alias("_m"))).distinct()
+    longer = own.select(F.explode(_tails(F.col("_have"))).alias("path"), "_m").distinct()
+    shorter = want.withColumn("_have", F.explode(_tails(F.col("path"))))
+    return want.join(longer, ["path", "_m"], "left_semi").select("path", "symbol").unionByName(shorter.join(own, ["_have", "_m"], "left_semi").select("path", "symbol")).distinct()
+
+
 def validity_flags(answers: DataFrame, records: DataFrame, edges: DataFrame) -> DataFrame:
     """``answer_id, kind, citation``: citations that no record bears out (``missing_symbol`` where a symbol is named, else ``missing_path``) and
     claimed relations between known names that no edge has (``contradicted_edge``).
@@ -60,14 +86,11 @@ def validity_flags(answers: DataFrame, records: DataFrame, edges: DataFrame) ->
     ``records``: ``id, name, file_path``; ``edges``: ``src, rel, dst`` of ids. A record bears a citation out if one path ends in the other and
     the symbol is its name, ends it, has its last part (case ignored) or ends its id.
     """
-    refs = cited_references(answers).withColumn("_l", _last(F.col("path")))
-    have = records.select("id", F.trim("name").alias("name"), normalize_path(F.col("file_path")).alias("_have")).where("_have <> ''").distinct().withColumn("_l", _last(F.col("_have")))
+    refs = cited_references(answers)
+    have = records.select("id", F.trim("name").alias("name"), normalize_path(F.col("file_path")).alias("_have")).where("_have <> ''").distinct()
+    known = borne_out(refs.select("path", "symbol").distinct(), have)
     symbol = F.col("symbol")
-    by_name = (F.col("name") == symbol) | F.endswith("name", F.concat(F.lit("."), symbol)) | (_key(F.col("name")) == _key(symbol))
-    by_id = F.endswith("id", F.concat(F.lit(":"), symbol)) | F.contains("id", F.concat(F.lit(":"), F.col("path"), F.lit(":"), symbol))
-    known = refs.join(have, "_l").where(path_matches(F.col("path"), F.col("_have")) & ((symbol == "") | F.coalesce(by_name, F.lit(False)) | F.coalesce(by_id, F.lit(False))))
-    on = ["answer_id", "path", "symbol"]
-    lost = refs.join(known.select(*on).distinct(), on, "left_anti")
+    lost = refs.join(known, ["path", "symbol"], "left_anti")
     missing = lost.select("answer_id", F.when(symbol == "", "missing_path").otherwise("missing_symbol").alias("kind"), F.concat_ws(":", "path", F.nullif(symbol, F.lit(""))).alias("citation"))
 
     claims = claimed_relations(answers)

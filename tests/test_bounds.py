@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from marlstone.operators import graph, memory
+from marlstone.functions.text import normalize_path
+from marlstone.operators import graph, memory, verify
 from tests.test_rules import beam_by_hand
 
 
@@ -46,3 +47,24 @@ def test_reconcile_makes_no_rows_of_pairs(spark):
         s, match, x, y, link = max(((like(t.split(), t2.split()) + like(b.split(), b2.split()) + (0.35 if set(links or []) & set(l2) else 0.0), j, like(t.split(), t2.split()), like(b.split(), b2.split()), bool(set(links or []) & set(l2))) for j, k2, t2, b2, l2 in one if k2 == k), default=(0, None, 0, 0, False))
         action = "add" if s == 0 else "skip" if y >= 0.55 or (x >= 0.7 and y >= 0.3) else "supersede" if x >= 0.35 or link else "add"
         assert got[i] == (action, match if action != "add" else None)
+
+
+def test_citations_are_borne_out_as_pair_by_pair(spark):
+    r = random.Random(9)
+    paths = ["a.py", "x/a.py", "y/x/a.py", "b.py", "x/b.py", "./x/b.py"]
+    names = ["run", "C.run", "Load", "load", "D.E.load", "ru", "", None]
+    have = {(f"{r.choice(['f', 'func', 'm:x'])}:{r.choice(paths)}:{r.choice(['C.run', 'run', 'loader', 'z', 'x:run'])}" if r.random() < 0.8 else "bare", r.choice(names), r.choice(paths)) for _ in range(40)}
+    records = spark.createDataFrame([*have, ("q:x/a.py:loading", "other", "x/a.py")], "id string, name string, file_path string")
+    cited = [(p, s) for p in ("a.py", "x/a.py", "z/x/a.py", "b.py", "x/b.py", "c.py") for s in ("", "run", "C.run", "load", "lo", "E.load", "gone", "run.")]
+    own = records.select("id", F.trim("name").alias("name"), normalize_path(F.col("file_path")).alias("_have")).distinct()
+    rows = own.collect()
+    key = lambda n: n.strip().split(".")[-1].lower()
+
+    def bears(p, s, x):
+        if not (p == x._have or p.endswith("/" + x._have) or x._have.endswith("/" + p)):
+            return False
+        by_name = x.name is not None and (x.name == s or x.name.endswith("." + s) or key(x.name) == key(s))
+        return s == "" or by_name or x.id.endswith(":" + s) or f":{p}:{s}" in x.id
+
+    got = {tuple(x) for x in verify.borne_out(spark.createDataFrame(cited, "path string, symbol string"), own).collect()}
+    assert got == {(p, s) for p, s in cited if any(bears(p, s, x) for x in rows)} and 0 < len(got) < len(cited)
