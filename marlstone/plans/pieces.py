@@ -214,7 +214,7 @@ SELECT event_id AS chunk_id, content, 'knowledge/memory/fact/' || event_id || '.
     "linked_chunks": f"""WITH {_FN} SELECT a.i AS query_id, b.i AS chunk_id FROM fn a JOIN fn b ON b.path = a.path AND lower(b.name) IN ('f' || (a.i + 1), 'f' || a.i) WHERE a.i % 4 = 1 AND b.i <> a.i""",
     "expansions": """SELECT item_id AS query_id, item_id AS chunk_id, md5(CASE WHEN text IS NULL THEN '### retrieve_chunk ' || item_id || chr(10) || '[not in cache]' || chr(10) ELSE '### retrieve_chunk ' || item_id || ' (full)' || chr(10) || '```' || chr(10) || text || chr(10) || '```' || chr(10) END) AS block_md5
 FROM (SELECT item_id FROM benchmark) LEFT JOIN documents ON doc_id = item_id UNION ALL SELECT item_id, item_id - 1000000, md5('### retrieve_chunk ' || (item_id - 1000000) || chr(10) || '[not in cache]' || chr(10)) FROM benchmark""",
-    "vault_ranking": f"""WITH p AS (SELECT (['knowledge/wiki/', 'knowledge/memory/', 'knowledge/gloss/', 'notes/'])[doc_id % 4 + 1] || doc_id || '.md' AS path, ([0.2, 0.15, 0.1, 0.05]::DOUBLE[])[doc_id % 4 + 1] AS prior, substr(text, 1, 40) AS title, source, lang, substr(text, 1, 800) AS body FROM documents),
+    "vault_ranking": f"""WITH p AS (SELECT (['knowledge/wiki/', 'knowledge/memory/', 'knowledge/gloss/', 'notes/'])[doc_id % 4 + 1] || doc_id || '.md' AS path, ([0.2, 0.15, 0.1, 0.05]::DOUBLE[])[doc_id % 4 + 1] AS prior, substr(text, 1, 40) AS title, source, lang, text AS body FROM documents),
 w AS (SELECT path, prior, list_distinct(regexp_extract_all(lower(title || ' ' || path), '[a-z0-9_]+')) AS t, list_distinct(regexp_extract_all(lower(source || ' ' || lang), '[a-z0-9_]+')) AS x, list_distinct(regexp_extract_all(lower(body), '[a-z0-9_]+')) AS b FROM p),
 q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS q FROM benchmark),
 s AS (SELECT query_id, path, len(list_intersect(q, list_concat(t, list_concat(x, b)))) AS any_, round((3.0::DOUBLE * len(list_intersect(q, t)) + 1.5::DOUBLE * len(list_intersect(q, x)) + 0.5::DOUBLE * len(list_intersect(q, b))) / len(q) + 0.1::DOUBLE * prior, 6) AS score FROM w, q)

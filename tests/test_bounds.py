@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import normalize_path
-from marlstone.operators import graph, memory, verify
+from marlstone.operators import graph, memory, vault, verify
 from tests.test_rules import beam_by_hand
 
 
@@ -68,3 +68,12 @@ def test_citations_are_borne_out_as_pair_by_pair(spark):
 
     got = {tuple(x) for x in verify.borne_out(spark.createDataFrame(cited, "path string, symbol string"), own).collect()}
     assert got == {(p, s) for p, s in cited if any(bears(p, s, x) for x in rows)} and 0 < len(got) < len(cited)
+
+
+def test_vault_pages_are_ranked_by_their_whole_text(spark):
+    pages = [("notes/a.md", "one", "src", ["en"], "filler " * 300 + "needle"), ("knowledge/wiki/b.md", "needle", "src", ["en"], "x"), ("notes/c.md", "two", "needle", ["en"], ""), ("notes/d.md", "three", "src", ["en"], None)]
+    df = spark.createDataFrame(pages, "path string, title string, description string, tags array<string>, body string")
+    queries = spark.createDataFrame([("q", "needle none"), ("r", "..."), ("s", "src two")], "query_id string, query string")
+    got = {(r.query_id, r["rank"]): (r.path, r.score) for r in vault.rank_pages(df, queries, 2).collect()}
+    assert got == {("q", 0): ("knowledge/wiki/b.md", 1.52), ("q", 1): ("notes/c.md", 0.755), ("s", 0): ("notes/c.md", 1.505), ("s", 1): ("knowledge/wiki/b.md", 0.77)}
+    assert {(r.path, r.score) for r in vault.rank_pages(df, queries.where("query_id = 'q'"), 9).collect()} == {("knowledge/wiki/b.md", 1.52), ("notes/c.md", 0.755), ("notes/a.md", 0.255)}
