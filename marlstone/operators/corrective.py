@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import golden, metrics
 from marlstone.operators.loop import query_mode
-from marlstone.scratch import materialize
+from marlstone.scratch import materialize, small
 
 
 def names_in_reach(names: Column, pool: Column) -> Column:
@@ -58,14 +58,15 @@ def run_loop(
         if state.isEmpty():
             break
         pool = k if attempt == 1 else min(k * golden.POOL_FACTOR, golden.POOL_MOST)
-        new = search(state, pool).where(F.col("rank") < pool).select("query_id", "chunk_id", "rank").join(info, "chunk_id").withColumn("attempt", F.lit(attempt))
+        new = search(state, pool).where(F.col("rank") < pool).select("query_id", "chunk_id", "rank")
+        new = small(materialize(new, "hits")).join(info, "chunk_id").withColumn("attempt", F.lit(attempt))
         new = materialize(new, "found")
         before = None if attempts is None else golden.merge_attempts(attempts, None, k)
         attempts = new if attempts is None else attempts.unionByName(new)
         mine = attempts.join(state.select("query_id"), "query_id", "left_semi")
         names = original.select("query_id", F.explode(golden.native_identifiers(F.coalesce("query", F.lit("")))).alias("name"))
         merged = materialize(golden.merge_attempts(mine, names, k), "merged")
-        told = merged.join(info, "chunk_id")
+        told = materialize(small(merged).join(info, "chunk_id"), "told")
         open_ones = original.join(state.select("query_id"), "query_id", "left_semi")
         graded = golden.heuristic_grade(told, open_ones).join(focus_hits(told, open_ones), "query_id")
         least = F.lit(golden.GRADE_LEAST) - 1e-6

@@ -1,11 +1,13 @@
 """What keeps steps in proportion to their input: results stay those of plain Python, and no step makes pairs that can't count."""
 
+import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import normalize_path
-from marlstone.operators import graph, memory, vault, verify
+from marlstone.operators import blocks, graph, index, lexical, memory, vault, verify
 from tests.test_rules import beam_by_hand
 
 
@@ -77,3 +79,26 @@ def test_vault_pages_are_ranked_by_their_whole_text(spark):
     got = {(r.query_id, r["rank"]): (r.path, r.score) for r in vault.rank_pages(df, queries, 2).collect()}
     assert got == {("q", 0): ("knowledge/wiki/b.md", 1.52), ("q", 1): ("notes/c.md", 0.755), ("s", 0): ("notes/c.md", 1.505), ("s", 1): ("knowledge/wiki/b.md", 0.77)}
     assert {(r.path, r.score) for r in vault.rank_pages(df, queries.where("query_id = 'q'"), 9).collect()} == {("knowledge/wiki/b.md", 1.52), ("notes/c.md", 0.755), ("notes/a.md", 0.255)}
+
+
+def test_searches_score_rows_where_they_are(spark, tmp_path):
+    """Scores over several small blocks, with stop words, ties and rounded halves, equal those of plain joins; a search's plan moves no postings."""
+    r = random.Random(3)
+    text = lambda n: " ".join(r.choice(["the", "the", "a", "fox", "Red", "x_y", *(f"w{i}" for i in range(30))]) for _ in range(n))
+    chunks = spark.createDataFrame([*((i, text(r.randrange(25))) for i in range(120)), (500, None), (501, "the fox"), (502, "the fox")], "chunk_id long, content string").repartition(3)
+    queries = spark.createDataFrame([*((i, text(r.randrange(1, 12))) for i in range(40)), (90, " ".join(f"w{i}" for i in range(32)))], "query_id long, query string")
+    blocks.BLOCK_ROWS, blocks.GROUP_QUERIES, kept = 11, 13, (blocks.BLOCK_ROWS, blocks.GROUP_QUERIES)
+    index.write_index(chunks, str(tmp_path / "i"))
+    stored = index.open_index(spark, str(tmp_path / "i"))
+    got = {tuple(x) for x in index.search(stored, queries, 6).select("query_id", "chunk_id", "score", "rank").collect()}
+    over = {tuple(x) for x in lexical.overlap_channel(chunks, queries, k=6).select("query_id", "chunk_id", "score", "rank").collect()}
+    blocks.BLOCK_ROWS, blocks.GROUP_QUERIES = kept
+    assert got == {tuple(x) for x in lexical.bm25_search(chunks, queries, 6).select("query_id", "chunk_id", "score", "rank").collect()}
+    words = lambda t: re.findall("[a-z0-9_]+", (t or "").lower())
+    want, rows = set(), [(x.chunk_id, set(words(x.content))) for x in chunks.collect()]
+    for q in queries.collect():
+        own = set(words(q.query))
+        scored = sorted((-math.floor(min(0.9, 0.25 + 0.65 * len(own & w) / len(own)) * 1e6 + 0.5) / 1e6, c) for c, w in rows if own & w)
+        want |= {(q.query_id, c, -s, n) for n, (s, c) in enumerate(scored[:6])}
+    assert over == want
+    assert set(stored.chunks.columns) == {"chunk_id", "dl", "terms", "tfs"} and stored.chunks.count() == chunks.count()
