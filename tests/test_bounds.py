@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.text import normalize_path
 from marlstone.operators import blocks, graph, index, lexical, memory, vault, verify
+from marlstone.plans import catalogue
 from tests.test_rules import beam_by_hand
 
 
@@ -102,3 +103,10 @@ def test_searches_score_rows_where_they_are(spark, tmp_path):
         want |= {(q.query_id, c, -s, n) for n, (s, c) in enumerate(scored[:6])}
     assert over == want
     assert set(stored.chunks.columns) == {"chunk_id", "dl", "terms", "tfs"} and stored.chunks.count() == chunks.count()
+
+
+def test_every_turn_is_a_memory(spark, tmp_path):
+    rows = [(10, 0, "user", "alpha beta gamma. More"), (10, 1, "assistant", "delta words that answer"), (11, 0, "system", "delta alone"), (11, 2, "user", "delta delta delta")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {(r.query_id, r.id) for r in catalogue.queries()["memory_search"](spark, str(tmp_path)).collect()}
+    assert got == {("10/0", "10/0"), ("10/1", "10/1"), ("10/1", "11/0")}
