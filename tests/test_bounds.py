@@ -4,10 +4,13 @@ import math
 import random
 import re
 
+import numpy as np
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import normalize_path
-from marlstone.operators import blocks, graph, index, lexical, memory, vault, verify
+from marlstone.operators import blocks, graph, index, lexical, memory, vault, vectors, verify
 from marlstone.plans import catalogue
 from tests.test_rules import beam_by_hand
 
@@ -110,3 +113,21 @@ def test_every_turn_is_a_memory(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = {(r.query_id, r.id) for r in catalogue.queries()["memory_search"](spark, str(tmp_path)).collect()}
     assert got == {("10/0", "10/0"), ("10/1", "10/1"), ("10/1", "11/0")}
+
+
+def test_approximate_search_makes_no_rows_of_pairs(spark):
+    """Narrow buckets leave many rows out; what is left is what shares a bucket, and the plan has no join."""
+    r = np.random.default_rng(5)
+    m = r.normal(size=(60, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "chunk_id long, embedding array<double>")
+    out = vectors.approximate_search(df, df.where("chunk_id < 7").withColumnRenamed("chunk_id", "query_id"), 5, bucket=0.05, tables=2)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=0.05, numHashTables=2, seed=5).fit(df.select(array_to_vector("embedding").alias("v")))
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    h = [[x[0] for x in row.h] for row in model.transform(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(unit)], "i int, e array<double>").select("i", array_to_vector("e").alias("v"))).orderBy("i").collect()]
+    want = set()
+    for q in range(7):
+        near = sorted((-round(float(unit[q] @ unit[i]), 6), i) for i in range(60) if any(a == b for a, b in zip(h[q], h[i], strict=True)))
+        want |= {(q, i, -s, n) for n, (s, i) in enumerate(near[:5])}
+    assert {(x.query_id, x.chunk_id, x.score, x["rank"]) for x in out.collect()} == want
+    assert vectors.approximate_search(df.limit(0), df.withColumnRenamed("chunk_id", "query_id"), 5).count() == 0
