@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.text import tokenize
 from marlstone.operators import graph
-from marlstone.plans.tables import chunks, edges, edges_sql, table
+from marlstone.plans.tables import chunks, edge_rows, edges, edges_sql, table
 
 
 def graph_edges_dedupe_last(spark: SparkSession, d: str) -> DataFrame:
@@ -31,7 +31,7 @@ def graph_bfs_depth2(spark: SparkSession, d: str) -> DataFrame:
 
 def graph_shortest_path(spark: SparkSession, d: str) -> DataFrame:
     """From every node with an edge to one region, over all edges."""
-    e = edges(spark, d)
+    e = edge_rows(spark, d)
     pairs = e.select(F.col("src").alias("start")).distinct().withColumn("goal", F.lit("region:1"))
     return graph.shortest_path(e, pairs).withColumn("hops", F.col("hops").cast("long"))
 

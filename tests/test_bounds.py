@@ -131,3 +131,29 @@ def test_approximate_search_makes_no_rows_of_pairs(spark):
         want |= {(q, i, -s, n) for n, (s, i) in enumerate(near[:5])}
     assert {(x.query_id, x.chunk_id, x.score, x["rank"]) for x in out.collect()} == want
     assert vectors.approximate_search(df.limit(0), df.withColumnRenamed("chunk_id", "query_id"), 5).count() == 0
+
+
+def test_shortest_paths_back_from_many_goals(spark):
+    r = random.Random(2)
+    edges = list({(f"n{r.randrange(30)}", f"n{r.randrange(30)}") for _ in range(55)})
+    pairs = [(f"n{a}", f"n{b}") for a in range(30) for b in (0, 1, 2, 40)]
+    e = spark.createDataFrame([(a, b, "calls", 0) for a, b in edges + edges[:9]], "src string, dst string, relationship string, seq int")
+    p = spark.createDataFrame(pairs + pairs[:5], "start string, goal string")
+    want = {}
+    for a, b in pairs:
+        front, seen, hops = {a: a}, {a}, 0
+        while front and b not in front:
+            hops, new = hops + 1, {}
+            for at, path in front.items():
+                for x, y in edges:
+                    if x == at and y not in seen:
+                        new[y] = min(new.get(y, f"{path}>{y}"), f"{path}>{y}")
+            front, seen = new, seen | set(new)
+        if b in front:
+            want[a, b] = (hops, front[b])
+    for most in (graph.SMALL_ROWS, 0):
+        graph.SMALL_ROWS, kept = most, graph.SMALL_ROWS
+        got = [tuple(x) for x in graph.shortest_path(e, p).collect()]
+        graph.SMALL_ROWS = kept
+        assert len(got) == len(want) and {(a, b): (h, s) for a, b, h, s in got} == want
+    assert {tuple(x)[:3] for x in graph.shortest_path(e, p, 2).collect()} == {(a, b, h) for (a, b), (h, _) in want.items() if h <= 2}
