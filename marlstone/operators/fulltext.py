@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.porter import stem
 from marlstone.functions.text import snippet, tokenize
-from marlstone.operators.lexical import top_k
+from marlstone.operators import blocks, index
 
 K1, B = 1.2, 0.75
 
@@ -35,18 +35,13 @@ def and_match(docs: DataFrame, queries: DataFrame, stemmed: bool = False) -> Dat
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, stemmed: bool = False) -> DataFrame:
-    """``query_id, doc_id, score, rank`` of the matches of ``and_match``; the idf is ``ln((N - n + .5) / (n + .5))``, 1e-6 at least."""
-    post = docs.select("doc_id", F.explode(terms_of("body", stemmed)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    stats = docs.select("doc_id", F.size(tokenize("body")).alias("dl"))
-    totals = stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    wanted = queries.select("query_id", F.explode(F.array_distinct(terms_of("query", stemmed))).alias("term"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    hits = post.join(wanted.join(df, "term"), "term").join(stats, "doc_id").join(F.broadcast(totals))
-    hits = hits.join(and_match(docs, queries, stemmed), ["query_id", "doc_id"])
+    """``query_id, doc_id, score, rank`` of the matches of ``and_match``; the idf is ``ln((N - n + .5) / (n + .5))``, 1e-6 at least. Documents are scored in
+    blocks of an index of their own, so matches that don't come among the best never leave their task."""
+    stored = index.built(docs.select(F.col("doc_id").alias("chunk_id"), F.col("body").alias("content")), terms_of("content", stemmed))
+    wanted = queries.select("query_id", F.explode(F.array_distinct(terms_of("query", stemmed))).alias("term"), F.lit(1).alias("qtf"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return top_k(scored, k, key="doc_id")
+    terms = stored.terms.drop("idf").join(F.broadcast(stored.stats.select("n"))).select("term", idf.alias("idf"))
+    return blocks.best_rows(stored.chunks, blocks.query_words(wanted, terms), k, blocks.by_all, index.weigher(stored, K1, B)).withColumnRenamed("chunk_id", "doc_id")
 
 
 def with_snippets(hits: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:

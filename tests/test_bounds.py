@@ -9,8 +9,9 @@ from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from marlstone.functions.porter import stem
 from marlstone.functions.text import normalize_path
-from marlstone.operators import blocks, graph, index, lexical, memory, vault, vectors, verify
+from marlstone.operators import blocks, fulltext, graph, index, lexical, memory, vault, vectors, verify
 from marlstone.plans import catalogue
 from tests.test_rules import beam_by_hand
 
@@ -157,3 +158,26 @@ def test_shortest_paths_back_from_many_goals(spark):
         graph.SMALL_ROWS = kept
         assert len(got) == len(want) and {(a, b): (h, s) for a, b, h, s in got} == want
     assert {tuple(x)[:3] for x in graph.shortest_path(e, p, 2).collect()} == {(a, b, h) for (a, b), (h, _) in want.items() if h <= 2}
+
+
+def test_full_text_scores_what_holds_all_words(spark):
+    r = random.Random(6)
+    pool = ["the", "runs", "running", "red", *(f"w{i}" for i in range(8))]
+    docs = [(f"d{i}", " ".join(r.choice(pool) for _ in range(r.randrange(1, 12)))) for i in range(60)] + [("none", None)]
+    asked = [(f"q{i}", " ".join(r.choice(pool) for _ in range(r.randrange(1, 4)))) for i in range(30)] + [("empty", ""), ("lost", "the unknown")]
+    d, q = spark.createDataFrame(docs, "doc_id string, body string"), spark.createDataFrame(asked, "query_id string, query string")
+    for stemmed in (False, True):
+        words = lambda t: [stem(w) if stemmed else w for w in (t or "").split()]
+        bags = {i: words(t) for i, t in docs}
+        mean, n = sum(map(len, bags.values())) / len(bags), len(bags)
+        want = set()
+        for i, t in asked:
+            own = set(words(t))
+            idf = {w: max(math.log((n - df + 0.5) / (df + 0.5)), 1e-6) for w in own for df in [sum(w in b for b in bags.values())]}
+            scored = [(-round(sum(idf[w] * b.count(w) * 2.2 / (b.count(w) + 1.2 * (0.25 + 0.75 * len(b) / mean)) for w in own), 6), k) for k, b in bags.items() if own and own <= set(b)]
+            want |= {(i, k, -s, at) for at, (s, k) in enumerate(sorted(scored)[:4])}
+        blocks.BLOCK_ROWS, kept = 9, blocks.BLOCK_ROWS
+        out = fulltext.search(d, q, 4, stemmed)
+        blocks.BLOCK_ROWS = kept
+        assert {(x.query_id, x.doc_id, x.score, x["rank"]) for x in out.collect()} == want
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
