@@ -181,3 +181,13 @@ def test_full_text_scores_what_holds_all_words(spark):
         blocks.BLOCK_ROWS = kept
         assert {(x.query_id, x.doc_id, x.score, x["rank"]) for x in out.collect()} == want
         assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_task_of_a_dense_search_leaves_k_rows_a_query(spark):
+    r = np.random.default_rng(7)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r.integers(-2, 3, size=(50, 3)).astype(float))], "chunk_id long, embedding array<double>").coalesce(1)
+    asked = df.where("chunk_id < 5").withColumnRenamed("chunk_id", "query_id")
+    whole = {tuple(x) for x in vectors.dense_search(df, asked, 4).collect()}
+    vectors.SLICE_ROWS, kept = 8, vectors.SLICE_ROWS
+    assert {tuple(x) for x in vectors.dense_search(df, asked, 4).collect()} == whole and len(whole) == 20
+    vectors.SLICE_ROWS = kept
